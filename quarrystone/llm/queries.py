@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_neighbours, q_packing, q_terms, q_tokens
+from . import q_neighbours, q_packing, q_scans, q_terms, q_tokens
 
-_MODULES = [q_packing, q_terms, q_neighbours, q_tokens]
+_MODULES = [q_scans, q_packing, q_terms, q_neighbours, q_tokens]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
