@@ -100,12 +100,14 @@ class Items:
         return np.repeat(at, n), self.item[k], self.place[k]
 
 
-def align(pairs: list[tuple[np.ndarray, np.ndarray, int]], width: int = BAND, at_once: int = 2000) -> list[tuple[int, int]]:
+def align(pairs: list[tuple[np.ndarray, np.ndarray, int]], width: int = BAND, at_once: int = 1000) -> list[tuple[int, int]]:
     """(length in ``b``, edits) of the best local alignment of each (a, b, diagonal) within ``width`` diagonals around
     its diagonal (place in a minus place in b): match 1, edit -2. All pairs advance together, row by row of ``b``."""
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int]] = [(0, 0)] * len(pairs)
     k = np.arange(2 * width + 1)
-    for part in (pairs[i : i + at_once] for i in range(0, len(pairs), at_once)):
+    by_length = sorted(range(len(pairs)), key=lambda i: len(pairs[i][1]))  # pairs of like length go together
+    for chosen in (by_length[i : i + at_once] for i in range(0, len(pairs), at_once)):
+        part = [pairs[i] for i in chosen]
         r = len(part)
         la, lb = np.array([len(a) for a, _, _ in part]), np.array([len(b) for _, b, _ in part])
         base = np.array([g for _, _, g in part]) - width
@@ -132,7 +134,8 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray, int]], width: int = BAND, at
             m = score.argmax(axis=1)
             more = score[rows, m] > best
             best, best_len = np.where(more, score[rows, m], best), np.where(more, length[rows, m], best_len)
-        out += [(int(n), -(-int(n - v) // 3)) for n, v in zip(best_len, best)]  # a substitution lowers it by 3, a character extra in a by 2
+        for i, n, v in zip(chosen, best_len, best):
+            out[i] = int(n), -(-int(n - v) // 3)  # a substitution lowers it by 3, a character extra in a by 2
     return out
 
 

@@ -94,24 +94,27 @@ def sketches(h: np.ndarray, sizes: np.ndarray, picks: int, tables: int) -> tuple
     bits = np.zeros(len(sizes), "u8")
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     out = np.empty((tables, len(sizes)), "u8")
-    top = np.uint64(2**64 - 1)
+    # the place in the text replaces the lowest bits, so a minimum tells where it stands
+    low = np.uint64(int(sizes.max()).bit_length())
+    mask = (np.uint64(1) << low) - np.uint64(1)
+    place = (np.arange(len(h)) - np.repeat(starts, sizes)).astype("u8")
     for t in range(tables):
-        v = mix(h + np.uint64((t + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        v = (h ^ np.uint64((2 * t + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(((t + 7) * 0xD1342543DE82EF95 | 1) % 2**64)
+        v ^= v >> np.uint64(32)
+        v *= M1
+        v &= ~mask
+        v |= place
         at = []
         for p in range(picks):
-            low = np.minimum.reduceat(v, starts)
-            hit = np.flatnonzero(v == np.repeat(low, sizes))
-            if len(hit) != len(sizes):  # a clash of hashes: the first one
-                hit = hit[np.searchsorted(hit, starts)]
+            hit = starts + (np.minimum.reduceat(v, starts) & mask).astype("i8")
             at.append(hit)
             if p + 1 < picks:
-                v[hit] = top
+                v[hit] |= ~mask
         for p in range(min(2, picks)):
             if p * tables + t < 64:
                 bits |= (mix(h[at[p]] + np.uint64(t)) & np.uint64(1)) << np.uint64(p * tables + t)
-        order = np.sort(np.stack(at), axis=0)
         key = np.full(len(sizes), np.uint64(t))
-        for row in order:
+        for row in np.sort(np.stack(at), axis=0):
             key = mix(key * M2 + h[row])
         out[t] = key
     return out, bits
@@ -169,11 +172,13 @@ def _sketch(least_words: int, picks: int, tables: int):
                 seen.clear()
             if not fresh:
                 continue
-            sizes = np.array([len(w) for w in fresh])
-            h, n = run_hashes(known.hashes([x for w in fresh for x in w]), sizes)
-            keys, bits = sketches(label_occurrences(h, np.repeat(np.arange(len(n)), n)), n, picks, tables)
-            rep = np.array(reps, "u8").view("i8")
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view("i8")), pa.array(np.tile(rep, tables)), pa.array(np.tile(bits.view("i8"), tables))], names=["key", "rep", "sig"])
+            for i in range(0, len(fresh), 1500):  # arrays that fit a core's cache
+                part = fresh[i : i + 1500]
+                sizes = np.array([len(w) for w in part])
+                h, n = run_hashes(known.hashes([x for w in part for x in w]), sizes)
+                keys, bits = sketches(label_occurrences(h, np.repeat(np.arange(len(n)), n)), n, picks, tables)
+                rep = np.array(reps[i : i + 1500], "u8").view("i8")
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view("i8")), pa.array(np.tile(rep, tables)), pa.array(np.tile(bits.view("i8"), tables))], names=["key", "rep", "sig"])
 
     return run
 
@@ -256,7 +261,7 @@ def _blocks(bits: int):
     return run
 
 
-def candidates(df: DataFrame, key: str, text: str, least_words: int, n: int, block: int = 64, bits: int = 39) -> DataFrame:
+def candidates(df: DataFrame, key: str, text: str, least_words: int, n: int, block: int = 64, bits: int = 41) -> DataFrame:
     """(a, b) of classes that share a key and whose signatures agree in ``bits`` of 64."""
     picks, tables = plan(n)
     rows = _source(df, key, text, least_words).mapInArrow(_sketch(least_words, picks, tables), "key long, rep long, sig long")
@@ -272,23 +277,26 @@ def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for b in batches:
-            n = b.num_rows
-            if not n:
+            if not b.num_rows:
                 continue
-            texts = b.column(2).to_pylist() + b.column(3).to_pylist()
-            words = [known.hashes(WORD.findall(t.lower())) for t in texts]
-            sizes = np.array([len(w) for w in words])
-            h, m = run_hashes(np.concatenate(words), sizes)
-            sets = [np.unique(x) for x in np.split(h, np.cumsum(m)[:-1])]
-            code = [(w & np.uint64(0x7FFFFFFF)).astype("u4") + np.uint32(1) for w in words]
-            aligned = align([(code[i], code[n + i], 0) for i in range(n)])
-            sim = np.empty(n)
-            for i in range(n):
-                both = len(np.intersect1d(sets[i], sets[n + i], assume_unique=True))
-                sim[i] = both / (len(sets[i]) + len(sets[n + i]) - both)
-            ok = sim >= threshold - 1e-12
-            share = np.array([max(0, a - e) / max(len(code[i]), len(code[n + i])) for i, (a, e) in enumerate(aligned)])
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok)), pa.array(sim[ok]), pa.array(share[ok])], names=["a", "b", "similarity", "aligned"])
+            a_ids, b_ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+            texts = dict(zip(a_ids.tolist(), b.column(2).to_pylist())) | dict(zip(b_ids.tolist(), b.column(3).to_pylist()))
+            words = {k: known.hashes(WORD.findall(t.lower())) for k, t in texts.items()}  # each text once a batch
+            sizes = np.array([len(w) for w in words.values()])
+            h, m = run_hashes(np.concatenate(list(words.values())), sizes)
+            sets = dict(zip(words, (np.unique(x) for x in np.split(h, np.cumsum(m)[:-1]))))
+            n = {k: len(v) for k, v in sets.items()}
+            # sets whose sizes differ too much cannot overlap enough
+            pairs = [(x, y) for x, y in zip(a_ids.tolist(), b_ids.tolist()) if min(n[x], n[y]) >= (threshold - 1e-12) * max(n[x], n[y])]
+            code = {k: (w & np.uint64(0x7FFFFFFF)).astype("u4") + np.uint32(1) for k, w in words.items()}
+            out = []
+            for (x, y), (length, edits) in zip(pairs, align([(code[x], code[y], 0) for x, y in pairs])):
+                both = len(sets[x]) + len(sets[y]) - len(np.union1d(sets[x], sets[y]))
+                similarity = both / (n[x] + n[y] - both)
+                if similarity >= threshold - 1e-12:
+                    out.append((x, y, similarity, max(0, length - edits) / max(len(code[x]), len(code[y]))))
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["a", "b", "similarity", "aligned"])
 
     return run
 
