@@ -301,7 +301,7 @@ def _verify(threshold: float):
     return run
 
 
-def similar_classes(df: DataFrame, key: str = "chunk_id", text: str = "raw_content", threshold: float = 0.6, least_words: int = 30, small: int = 500_000) -> tuple[DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, key: str = "chunk_id", text: str = "raw_content", threshold: float = 0.6, least_words: int = 30, small: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """((chunk_id, rep), (a, b, similarity, aligned)): the classes, and every verified pair of different ones.
 
     The texts of candidates are picked out of the scan by a broadcast of their keys while these are at most ``small``
