@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import references, search
+from . import documents, models, references, search
 
-_MODULES = [search, references]
+_MODULES = [search, documents, models, references]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
