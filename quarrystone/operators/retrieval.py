@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import terms
+from ..session import spread
 
 HITS = "query_id long, item_id long, score double"
 
@@ -87,8 +88,10 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, k1: float = 1.2
     """
     q = queries.select(F.col("id").alias("query_id"), F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = q.select("term").distinct()
+    corpus = spread(corpus.select("id", "text"))
     t = corpus.select(F.col("id").alias("item_id"), terms(F.coalesce("text", F.lit(""))).alias("t")).withColumn("length", F.size("t"))
-    stats = t.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    length = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"))
+    stats = corpus.agg(F.count("*").alias("n"), F.avg(length).alias("mean")).first()
     p = t.select("item_id", "length", F.explode("t").alias("term")).join(wanted, "term").groupBy("item_id", "length", "term").agg(F.count("*").alias("tf"))
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(stats.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
