@@ -1,9 +1,8 @@
 """Frequency of every distinct term: occurrences, distinct records, and a mark on the useless ones.
 
-Range-partitioned external sort of (field, term, record, row key) and a run-length scan of each sorted
-partition. The range bounds cover the record too, so a term that holds a third of all rows spreads over many
-partitions while all rows of one term and record stay together; each scan emits one partial run per term and
-the runs are added up.
+Range-partitioned external sort of (field, term, record, row key) and a run-length scan of each sorted partition. The
+range bounds cover all four columns, so neither a term nor a record that holds a third of all rows stays in one
+partition; each scan emits partial runs, and a record torn between partitions counts once where they are added up.
 
 Defined cases
   * a term is the value without surrounding blanks, lower-cased; null and blank values are left out;
@@ -54,32 +53,56 @@ def _starts(*cols: pa.Array) -> np.ndarray:
     return new
 
 
+OUT = "field_name string, term string, n_occurrences long, n_records long, edge string"
+
+
 def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Run-length scan of a partition sorted by all four columns; the run in progress is carried from batch to batch."""
+    """Run-length scan of a partition sorted by all four columns. A run is a record of a term; runs are added up by
+    term, but for the first and the last of the partition, which may go on in another one: they come out with their
+    record as ``edge`` and are counted once where partitions are put together."""
     last: tuple | None = None  # the row before this batch
+    open_run: list | None = None  # field, term, record, occurrences of the run in progress
+    first_run = True
+
+    def rows(f, t, occurrences, records, edge) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(f, pa.string()), pa.array(t, pa.string()), pa.array(occurrences, pa.int64()), pa.array(records, pa.int64()), pa.array(edge, pa.string())],
+            names=["field_name", "term", "n_occurrences", "n_records", "edge"],
+        )
+
     for b in batches:
         if not b.num_rows:
             continue
-        f, t, r, k = (b.column(i) for i in range(4))
-        term, rec, row = _starts(f, t), _starts(f, t, r), _starts(f, t, r, k)
-        first = tuple(c[0].as_py() for c in (f, t, r, k))
-        if last is not None:  # a run goes on
-            rec[0], row[0] = first[:3] != last[:3], first != last
-        last = tuple(c[b.num_rows - 1].as_py() for c in (f, t, r, k))
-        at = np.flatnonzero(term)
-        has = rec & pc.is_valid(r).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays(
-            [f.take(pa.array(at)), t.take(pa.array(at)), pa.array(np.add.reduceat(row.astype("i8"), at)), pa.array(np.add.reduceat(has.astype("i8"), at))],
-            names=["field_name", "term", "n_occurrences", "n_records"],
-        )
+        cols = [b.column(i) for i in range(4)]
+        rec, row = _starts(*cols[:3]), _starts(*cols)
+        row[0] = tuple(c[0].as_py() for c in cols) != last
+        last = tuple(c[b.num_rows - 1].as_py() for c in cols)
+        at = np.flatnonzero(rec)
+        f, t, r = (c.take(pa.array(at)).to_pylist() for c in cols[:3])
+        n = np.add.reduceat(row.astype("i8"), at).tolist()
+        if open_run and open_run[:3] == [f[0], t[0], r[0]]:
+            n[0] += open_run[3]
+        elif open_run:
+            f, t, r, n = [open_run[0], *f], [open_run[1], *t], [open_run[2], *r], [open_run[3], *n]
+        open_run = [f.pop(), t.pop(), r.pop(), n.pop()]
+        if f and first_run:
+            yield rows(f[:1], t[:1], n[:1], [0], r[:1])
+            f, t, r, n, first_run = f[1:], t[1:], r[1:], n[1:], False
+        if f:
+            new = np.flatnonzero([True, *((f[i], t[i]) != (f[i - 1], t[i - 1]) for i in range(1, len(f)))])
+            has = np.array([x is not None for x in r], "i8")
+            yield rows([f[i] for i in new], [t[i] for i in new], np.add.reduceat(np.array(n), new), np.add.reduceat(has, new), [None] * len(new))
+    if open_run:
+        yield rows(open_run[:1], open_run[1:2], open_run[3:], [0], open_run[2:3])
 
 
 def term_counts(rows: DataFrame, totals: DataFrame, min_records: int = 3, max_share: float = 0.2) -> DataFrame:
     cols = ["field_name", "term", "record", "row_key"]
-    # the row key in the bounds would tear (term, record) apart, so the range stops at the record
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = rows.repartitionByRange(n, *cols[:3]).sortWithinPartitions(*cols).mapInArrow(scan_runs, "field_name string, term string, n_occurrences long, n_records long")
-    counts = runs.groupBy("field_name", "term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
+    runs = rows.repartitionByRange(n, *cols).sortWithinPartitions(*cols).mapInArrow(scan_runs, OUT)
+    # at most two edges a partition
+    records = F.sum("n_records") + F.size(F.collect_set("edge"))
+    counts = runs.groupBy("field_name", "term").agg(F.sum("n_occurrences").alias("n_occurrences"), records.alias("n_records"))
     mark = F.when(F.col("n_records") < min_records, "rare").when(F.col("n_records") > F.col("n_all") * max_share, "common")
     # one row per field: a fixed, tiny side
     return counts.join(F.broadcast(totals), "field_name").withColumn("mark", mark).drop("n_all")

@@ -26,6 +26,15 @@ def test_terms_brute_force(spark):
     assert got == {t: (len(occ[t]), len(rec[t]), "rare" if len(rec[t]) < 3 else "common" if len(rec[t]) > n * 0.2 else None) for t in occ}
 
 
+def test_a_record_torn_between_partitions_counts_once(spark):
+    df = spark.createDataFrame([(f"k{i:04}", "one" if i < 900 else f"d{i % 7}", "same") for i in range(1000)], "chunk_id string, doc_id string, kind string")
+    for n in (1, 4, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = [(r.term, r.n_occurrences, r.n_records) for r in term_counts(term_rows(df, "kind", "doc_id", df["chunk_id"]), record_totals(df, "kind", "doc_id")).collect()]
+        assert got == [("same", 1000, 8)]
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
 def test_terms_empty(spark):
     df = spark.createDataFrame([], "chunk_id string, doc_id string, kind string")
     assert term_counts(term_rows(df, "kind", "doc_id", df["chunk_id"]), record_totals(df, "kind", "doc_id")).count() == 0
