@@ -124,7 +124,7 @@ def plan(n: int) -> tuple[int, int]:
     """(picks, tables) for ``n`` texts: one more pick for every hundredfold beyond a million keeps chance candidates
     in proportion to the texts; the tables make up for what a pick costs in recall."""
     more = max(0, math.ceil((math.log10(max(n, 1)) - 6) / 2))
-    return 3 + more, math.ceil(40 * 1.8**more)
+    return 3 + more, math.ceil(48 * 1.8**more)
 
 
 def prepare(texts: list[str | None], least_words: int) -> tuple[np.ndarray, list[list[str]]]:
