@@ -36,10 +36,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint in the shared folder: survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: survives the loss of executors.
+
+    What the optimizer knew of the plan's values is not carried over: a loop that joins or unites a checkpointed table
+    with itself would meet those facts under the wrong columns, and lose rows.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(CONSTRAINTS, "true")
+    spark.conf.set(CONSTRAINTS, "false")
+    try:
+        return df.checkpoint(True)
+    finally:
+        spark.conf.set(CONSTRAINTS, before)
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.operators import evaluation, fusion, lookup, packing, providers, retrieval, summaries, upserts, windows
+from quarrystone.operators import evaluation, fusion, lookup, packing, providers, ranking, retrieval, summaries, upserts, windows
+from quarrystone.sources import elements, index, registries
 
 
 def test_dense_topk(spark):
@@ -131,3 +132,42 @@ def test_providers_and_tree(spark):
     big = summaries.clusters(leaves, group=10).groupBy("cluster").count().collect()
     assert {r.cluster.split("-")[0] for r in big} == {"0", "1", "2"} and sum(r["count"] for r in big) == 28
     assert summaries.summary_tree(leaves.limit(0)).count() == 0
+
+
+def test_ancestors(spark):
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(9)] + [("x", "y"), ("z", None), ("w", "w")]
+    got = {tuple(r) for r in ranking.ancestors(spark.createDataFrame(edges, "node string, parent string")).collect()}
+    assert got == {(f"n{i}", f"n{j}", j - i) for i in range(10) for j in range(i + 1, 10)} | {("x", "y", 1)}
+    with pytest.raises(ValueError):
+        ranking.ancestors(spark.createDataFrame([("a", "b"), ("b", "a")], "node string, parent string"))
+
+
+def test_rerank_and_context(spark):
+    c = spark.createDataFrame([(1, "cat dog", "bird", 1), (1, "cat dog", "cat", 2), (1, "cat dog", None, 3)], "query_id long, query string, text string, rank int")
+    assert [(r.text, r["rank"]) for r in ranking.rerank(c, 2).orderBy("rank").collect()] == [("cat", 1), ("bird", 2)]
+    assert [r.text for r in ranking.rerank(c, score=F.lit(0.0)).orderBy("rank").collect()] == ["bird", "cat", None]
+    d = spark.createDataFrame([("d", 2, "", "b"), ("d", 1, "s", None)], "doc string, i int, source string, text string")
+    assert ranking.numbered_context(d, "doc", "i", "source", "text").first().context == "[1] (Source: s): \n\n[2] (Source: UNKNOWN): b\n\n"
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("One.\n\nTwo\nlines.\f\n \fThree.")
+    (tmp_path / "b.bad").write_bytes(b"\xff")
+    got = [(r.element_idx, r.text, r.page_num) for r in elements.read_elements(spark, str(tmp_path), glob="*.txt").orderBy("element_idx").collect()]
+    assert got == [(0, "One.", 1), (1, "Two\nlines.", 1), (2, "Three.", 3)]
+    assert elements.read_elements(spark, str(tmp_path), parser=lambda b: 1 / 0).count() == 0
+    (tmp_path / "r.json").write_text('{"trusted_sources": {"x.org": 1}, "kinds": {"A": ["a"]}}')
+    (tmp_path / "broken.json").write_text("{")
+    assert registries.trusted_sources(f"{tmp_path}/r.json") == {"x.org": 1.0} and registries.aliases(f"{tmp_path}/r.json", "kinds") == {"A": ["a"]}
+    assert registries.trusted_sources(f"{tmp_path}/broken.json") == {} and "sec.gov" in registries.trusted_sources(f"{tmp_path}/none.json")
+
+
+def test_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "cat dog cat"), (2, "dog"), (3, None)], "id long, text string")
+    index.write_postings(docs, f"{tmp_path}/p")
+    got = {(r.item_id, r.term, r.tf) for r in index.read_postings(spark, f"{tmp_path}/p", ["cat", "none"]).collect()}
+    assert got == {(1, "cat", 2)}
+    v = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
+    index.upsert_vectors(v, f"{tmp_path}/v")
+    index.upsert_vectors(spark.createDataFrame([(2, "c"), (3, "d")], "id long, x string"), f"{tmp_path}/v")
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/v").collect()} == {(1, "a"), (2, "c"), (3, "d")}
