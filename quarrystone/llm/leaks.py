@@ -102,40 +102,38 @@ class Items:
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray, int]], width: int = BAND, at_once: int = 1000) -> list[tuple[int, int]]:
     """(length in ``b``, edits) of the best local alignment of each (a, b, diagonal) within ``width`` diagonals around
-    its diagonal (place in a minus place in b): match 1, edit -2. All pairs advance together, row by row of ``b``."""
+    its diagonal (place in a minus place in b): match 1, edit -2. Pairs of like length advance together, row by row of
+    ``b``. A cell holds score and length in one integer, so the better of two cells is their maximum."""
     out: list[tuple[int, int]] = [(0, 0)] * len(pairs)
-    k = np.arange(2 * width + 1)
-    by_length = sorted(range(len(pairs)), key=lambda i: len(pairs[i][1]))  # pairs of like length go together
+    w = 2 * width + 1
+    one = 1 << 20  # a point of score; the length is below it
+    match, edit, extra = one + 1, 1 - 2 * one, np.arange(w, dtype="i8") * (2 * one)
+    none = np.uint32(0xFFFFFFFF)
+    by_length = sorted(range(len(pairs)), key=lambda i: len(pairs[i][1]))
     for chosen in (by_length[i : i + at_once] for i in range(0, len(pairs), at_once)):
         part = [pairs[i] for i in chosen]
-        r = len(part)
-        la, lb = np.array([len(a) for a, _, _ in part]), np.array([len(b) for _, b, _ in part])
-        base = np.array([g for _, _, g in part]) - width
-        big_a, big_b = np.zeros((r, la.max(initial=1)), "u4"), np.zeros((r, lb.max(initial=1)), "u4")
-        for n, (a, b, _) in enumerate(part):
-            big_a[n, : len(a)], big_b[n, : len(b)] = a, b
-        score, length = np.zeros((r, len(k)), "i4"), np.zeros((r, len(k)), "i4")
-        best, best_len, rows = np.zeros(r, "i4"), np.zeros(r, "i4"), np.arange(r)
-        none = np.zeros((r, 1), "i4")
-        for j in range(big_b.shape[1]):
-            i = base[:, None] + j + k
-            ok = (i >= 0) & (i < la[:, None]) & (j < lb)[:, None]
-            same = ok & (np.take_along_axis(big_a, i.clip(0, big_a.shape[1] - 1), axis=1) == big_b[:, j : j + 1])
-            s, n = score + np.where(same, 1, -2), length + 1
-            up, up_n = np.hstack([score[:, 1:], none]) - 2, np.hstack([length[:, 1:], none]) + 1  # b's character is extra
-            better = up > s
-            s, n = np.where(better, up, s), np.where(better, up_n, n)
-            run = np.maximum.accumulate(s + 2 * k, axis=1)  # a's characters are extra
-            src = np.maximum.accumulate(np.where(s + 2 * k == run, k, 0), axis=1)
-            left = run - 2 * k
-            n = np.where(left > s, np.take_along_axis(n, src, axis=1), n)
-            dead = (np.maximum(s, left) <= 0) | ~ok
-            score, length = np.where(dead, 0, np.maximum(s, left)), np.where(dead, 0, n)
-            m = score.argmax(axis=1)
-            more = score[rows, m] > best
-            best, best_len = np.where(more, score[rows, m], best), np.where(more, length[rows, m], best_len)
-        for i, n, v in zip(chosen, best_len, best):
-            out[i] = int(n), -(-int(n - v) // 3)  # a substitution lowers it by 3, a character extra in a by 2
+        rows = max((len(b) for _, b, _ in part), default=0)
+        # row r of near holds the characters of a that row j of b meets, from column j on
+        near, other = np.full((len(part), rows + w), none, "u4"), np.full((len(part), rows), none - 1, "u4")
+        for r, (a, b, diagonal) in enumerate(part):
+            lo, hi = max(0, diagonal - width), min(len(a), diagonal - width + len(b) + w - 1)
+            if hi > lo:
+                near[r, lo - diagonal + width : hi - diagonal + width] = a[lo:hi]
+            other[r, : len(b)] = b
+        cell, best = np.zeros((len(part), w + 1), "i8"), np.zeros(len(part), "i8")
+        for j in range(rows):
+            seen = near[:, j : j + w]
+            new = cell[:, :w] + np.where(seen == other[:, j : j + 1], match, edit)
+            np.maximum(new, cell[:, 1:] + edit, out=new)  # b's character is extra
+            new += extra  # a's characters are extra: the best cell to the left, less two points a step
+            np.maximum.accumulate(new, axis=1, out=new)
+            new -= extra
+            new[(new < one) | (seen == none)] = 0
+            cell[:, :w] = new
+            np.maximum(best, new.max(axis=1), out=best)
+        for i, x in zip(chosen, best.tolist()):
+            length, score = x & (one - 1), x >> 20
+            out[i] = length, -(-(length - score) // 3)  # a substitution lowers the score by 3, a character extra in a by 2
     return out
 
 
