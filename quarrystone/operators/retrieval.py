@@ -21,54 +21,67 @@ from ..session import spread
 HITS = "query_id long, item_id long, score double"
 
 
-def ranked(hits: DataFrame, k: int, by: str = "query_id", score: str = "score", ident: str = "item_id") -> DataFrame:
+def ranked(hits: DataFrame, k: int, *by: str, score: str = "score", ident: str = "item_id") -> DataFrame:
     """The ``k`` best rows of each query with their rank from 1."""
-    w = W.partitionBy(by).orderBy(F.desc(score), ident)
+    w = W.partitionBy(*(by or ("query_id",))).orderBy(F.desc(score), ident)
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, same: bool = False, query_block: int = 4096) -> DataFrame:
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, same: bool = False, list_column: str | None = None, query_block: int = 4096) -> DataFrame:
     """(query_id, item_id, score, rank) of the ``k`` most similar items of each query, by cosine.
 
     Both inputs are (id long, vec array<float>) of usable vectors. The queries go to the workers in blocks of at most
     ``query_block`` rows, one pass over the corpus per block; every partition keeps its ``k`` best per query, so only
-    k x queries x partitions rows are shuffled. ``same`` keeps a query from finding itself.
+    k x queries x partitions rows are shuffled. ``same`` keeps a query from finding itself. With ``list_column``
+    the result has that column too, and ``k`` rows for each of its values, found in the same pass.
     """
-    n = queries.count()
-    blocks = max(1, math.ceil(n / query_block))
     spark, out = queries.sparkSession, None
+    rows = queries.select("id", "vec").limit(query_block + 1).toArrow()
+    blocks = 1
+    if rows.num_rows > query_block:
+        blocks = math.ceil(queries.count() / query_block * 1.2)
+    schema = HITS + (f", {list_column} string" if list_column else "")
+    c = corpus.select("id", "vec", *([F.col(list_column).cast("string").alias("list")] if list_column else []))
     for i in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)
-        rows = part.select("id", "vec").toArrow() if n else None
-        if rows is None or not rows.num_rows:
+        if blocks > 1:
+            rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).select("id", "vec").toArrow()
+        if not rows.num_rows:
             continue
         held = spark.sparkContext.broadcast((rows.column("id").to_numpy(), np.stack(rows.column("vec").to_numpy(zero_copy_only=False)).astype("f8")))
-        hits = corpus.select("id", "vec").mapInArrow(_dense(held, k, same), HITS)
+        hits = c.mapInArrow(_dense(held, k, same, list_column), schema)
         out = hits if out is None else out.unionByName(hits)
-    return ranked(spark.createDataFrame([], HITS) if out is None else out, k)
+    out = spark.createDataFrame([], schema) if out is None else out
+    return ranked(out, k, "query_id", *([list_column] if list_column else []))
 
 
-def _dense(held, k: int, same: bool):
+def _dense(held, k: int, same: bool, list_column: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q = held.value
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        best = [np.empty(0), np.empty(0, "i8"), np.empty(0, "i8")]  # score, query place, item
+        best: dict = {}  # by list: score, query place, item
         for b in batches:
             if not b.num_rows:
                 continue
-            ids = b.column(0).to_numpy()
-            c = np.asarray(b.column(1).flatten()).astype("f8").reshape(len(ids), -1)
-            s = np.round(q @ (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)).T, 6)
-            if same:
-                s[q_ids[:, None] == ids[None, :]] = -np.inf
-            edge = -np.partition(-s, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1 : min(k, len(ids))]
-            r, col = np.nonzero((s >= edge) & (s > -np.inf))
-            score, row, item = np.concatenate([best[0], s[r, col]]), np.concatenate([best[1], r]), np.concatenate([best[2], ids[col]])
-            o = np.lexsort((item, -score, row))
-            o = o[(np.arange(len(o)) - np.searchsorted(row[o], row[o])) < k]
-            best = [score[o], row[o], item[o]]
-        if len(best[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[best[1]]), pa.array(best[2]), pa.array(best[0])], names=["query_id", "item_id", "score"])
+            all_ids = b.column(0).to_numpy()
+            all_vec = np.asarray(b.column(1).flatten()).astype("f8").reshape(len(all_ids), -1)
+            lists = np.array(b.column(2).to_pylist(), dtype=object) if list_column else np.full(len(all_ids), None, dtype=object)
+            for name in set(lists.tolist()):
+                at = np.flatnonzero(lists == name) if name is not None else np.array([i for i, x in enumerate(lists) if x is None])
+                ids, c = all_ids[at], all_vec[at]
+                s = np.round(q @ (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)).T, 6)
+                if same:
+                    s[q_ids[:, None] == ids[None, :]] = -np.inf
+                n = min(k, len(ids))
+                edge = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
+                r, col = np.nonzero((s >= edge) & (s > -np.inf))
+                old = best.get(name, (np.empty(0), np.empty(0, "i8"), np.empty(0, "i8")))
+                score, row, item = np.concatenate([old[0], s[r, col]]), np.concatenate([old[1], r]), np.concatenate([old[2], ids[col]])
+                o = np.lexsort((item, -score, row))
+                o = o[(np.arange(len(o)) - np.searchsorted(row[o], row[o])) < k]
+                best[name] = (score[o], row[o], item[o])
+        for name, (score, row, item) in best.items():
+            cols = [pa.array(q_ids[row]), pa.array(item), pa.array(score)] + ([pa.array([name] * len(row), pa.string())] if list_column else [])
+            yield pa.RecordBatch.from_arrays(cols, names=["query_id", "item_id", "score"] + ([list_column] if list_column else []))
 
     return run
 

@@ -41,13 +41,11 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
 
 def path_lists(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, path, rank, point, item_id): the hits of every collection; hits without a chunk keep their rank."""
-    v, out = points(spark, sf), None
-    queries = v.filter(F.col("id") % 100 == 0)
-    for path, name in COLLECTIONS.items():
-        hits = retrieval.dense_topk(queries, v.filter(F.col("collection") == name), same=True)
-        hits = hits.select("query_id", F.lit(path).alias("path"), "rank", F.col("item_id").alias("point"))
-        out = hits if out is None else out.unionByName(hits)
-    return out.join(v.select(F.col("id").alias("point"), F.nullif(F.col("chunk_id"), F.lit("")).alias("item_id")), "point", "left")
+    v = points(spark, sf)
+    hits = retrieval.dense_topk(v.filter(F.col("id") % 100 == 0), v.filter(F.col("collection").isin(list(COLLECTIONS.values()))), same=True, list_column="collection")
+    path = F.create_map(*[F.lit(x) for path, name in COLLECTIONS.items() for x in (name, path)])[F.col("collection")]
+    hits = hits.select("query_id", path.alias("path"), "rank", F.col("item_id").alias("point"))
+    return hits.join(v.select(F.col("id").alias("point"), F.nullif(F.col("chunk_id"), F.lit("")).alias("item_id")), "point", "left")
 
 
 def multi_path_retrieve(spark: SparkSession, sf: str) -> DataFrame:
