@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +62,21 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """More partitions for a CPU-bound step over an input that was scanned in too few (one small file)."""
     want = least or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable by the Python workers, once an application; nothing to do where PYTHONPATH has it.
+    The driver serves the archive to the executors."""
+    root = Path(__file__).resolve().parents[1]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="quarrystone-")) / "quarrystone.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "quarrystone").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
