@@ -3,9 +3,12 @@
 1. One pass counts every word of the corpus by the documents that hold it. The words that a small share of all
    documents has are the *ordinary* words; their number is bounded by (words of a document) / share, however
    large the corpus, so that table may be broadcast (the bound is checked).
-2. A second pass marks the lines of every text. Running headers, footers and page numbers are found by their place
-   at page edges and by fuzzy repetition: letters that scanners confuse are folded, numbers dropped, and a line of
-   unsure form counts as furniture if its folded form heads or ends other pages of the document too. Word ends cut by
+2. A second pass marks the lines of every text. Every line of a scanned text (or one with form feeds) that heads or ends a
+   page, two deep, whatever its form or length, is grouped by document and folded form (letters that scanners confuse
+   are folded, numbers dropped) and is furniture if that form stands at the edges of at least two pages with different
+   body lines beside it; three if it may be a sentence, fills the line, or stands in a table. Page numbers, and lines at
+   an edge of a usual header's form, count at once. A line inside a page needs, besides such a form, the end of a page
+   there (a page number, a sentence that goes on behind it, its own like) or repetition at edges. Word ends cut by
    a hyphen are joined by the corpus vocabulary; a rare word that becomes an ordinary one by undoing known confusions
    is misread.
 3. ``repair`` removes the furniture, undoes breaks and misreadings and joins lines into paragraphs.
@@ -24,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,6 +145,10 @@ TITLE_DATE = re.compile(r"^[^\W\d]\S+(?: \S+){1,3} (?:\S{1,2} \S+ \S{4}|\S+ \S{1
 DATED_PLACE = re.compile(r"[^\W\d]{3,}, [^\W\d]{3,} \d|[^\W\d]{3,}, \d{1,2} [^\W\d]|, \d{4}-\d\d-|, \d{1,2}\.\d{1,2}\.|[^\W\d]{3,}, [^\W\d]{3,} \S{1,2}, ")
 NAME_TITLE = re.compile(r"^\S.* [–—] [^\W\d]\S+$")
 MAY_BE_FURNITURE = re.compile(r"[\d–—*|]|^[^a-z]*$|^[ivxlcdm]{1,7}$")
+CLAUSE_NUMBER = re.compile(r"^\d+(?:\.\d+)*[.)] ")
+#: Between the cells of a table row.
+CELLS = re.compile(r"\S(?:\t| \| | {2,}[;|] +| {3,})\S")
+ENDS = ".?!;:,"
 MONTHS = "january february march april may june july august september october november december".split()
 
 
@@ -191,6 +199,54 @@ def scanned(lines: list[str]) -> bool:
 # ------------------------------------------------------------------ marks of a text
 
 
+def key_of(line: str) -> str:
+    """What repeats of a running line: its folded form, with the number of a clause, and without page number and marks."""
+    form = header_form(line)[0]
+    folded = fold(form)
+    number = CLAUSE_NUMBER.match(form)
+    return xxhash.xxh64_hexdigest((number.group() if number else "") + folded) if folded else ""
+
+
+def pages_of(lines: list[str]) -> list[list[int]]:
+    """Places of the lines with text, page by page; a form feed at the start or the end of a line is a change of page."""
+    out: list[list[int]] = [[]]
+    for i, x in enumerate(lines):
+        blank = not x.strip()
+        if "\f" in x and (blank or not x.split("\f")[0].strip()):
+            out.append([])
+        if not blank:
+            out[-1].append(i)
+            if "\f" in x and x.split("\f")[0].strip():
+                out.append([])
+    return [x for x in out if x]
+
+
+def running(bare: list[str], pages: list[list[int]], gone: set[int], numbers: set[int], measure: int) -> Iterator[tuple[int, str]]:
+    """(place, "key, context, pages") of the lines that head or end a page, two deep, whatever their form. The line is furniture
+    if so many pages (0: it only bears witness) with different contexts have its key at their edges. The context is the body line
+    next to it, so copies of one page count once."""
+    for page in pages:
+        body = [i for i in page if i not in gone]
+        for seq, rest in ((page, body), (page[::-1], body[::-1])):
+            context = xxhash.xxh64_hexdigest(fold(bare[rest[min(2, len(rest) - 1)]])) if rest else ""
+            for i in seq[:3]:
+                if i not in gone:
+                    break
+                if i not in numbers and (key := key_of(bare[i])):
+                    yield i, f"{key}\t{context}\t0"
+            above = ""
+            for i, inward in zip(rest[:2], rest[1:3]):
+                line, beside = bare[i], bare[inward]
+                key = key_of(line)
+                words = line.split()
+                marked = header_form(line)[1]
+                if not key or line[0].islower() or len(words) == 1 and (line[-1] in ENDS or " " not in beside) or not marked and CELLS.search(line) and CELLS.search(beside):
+                    break
+                doubtful = line[-1] in ENDS and not marked or len(line) > 0.8 * measure or marked and header_form(beside)[1]
+                yield i, f"{above}{key}\t{context}\t{3 if doubtful else 2}"
+                above = key
+
+
 def clean_lines(text: str) -> list[str]:
     return text.split("\n")
 
@@ -212,7 +268,8 @@ def edges(text: str) -> list[tuple[int, str]]:
 
 
 def marks(text: str, ordinary: dict[str, int]) -> list[tuple[int, str, str]]:
-    """(line number, noise, detail): ``furniture`` with an empty detail is sure, with a folded form it hangs on repetition;
+    """(line number, noise, detail): ``furniture`` with an empty detail is sure, with a key it hangs on repetition at page
+    edges; ``edge`` is a line at a page edge (see ``running``);
     the detail of ``break`` is the joined word's verdict, of ``misread`` the corrections as seen=printed."""
     lines = [x.rstrip("\r") for x in clean_lines(text)]
     bare = [x.strip(" \t\f\v\xa0") for x in lines]
@@ -222,6 +279,8 @@ def marks(text: str, ordinary: dict[str, int]) -> list[tuple[int, str, str]]:
     is_scan = scanned(bare)
     out: list[tuple[int, str, str]] = []
     gone: set[int] = set()
+    numbers: set[int] = set()
+    place = {i: k for k, i in enumerate(full)}
     unsure: list[int] = []
     wide = sorted(len(x) for x in bare if x)
     measure = wide[int(len(wide) * 0.8)]
@@ -242,6 +301,7 @@ def marks(text: str, ordinary: dict[str, int]) -> list[tuple[int, str, str]]:
             if not weak and (edge or is_scan) or known and len(full) > 2 or weak and (whole or edge and len(full) > 1 and (page or any(len(x) > 25 for x in beside)) or page and any(BARE_NUMBER.match(x) for x in beside)):
                 gone.add(i)
             if i in gone:
+                numbers.add(i)
                 out.append((n, "furniture", ""))
             continue
         form, marked = header_form(line)
@@ -251,7 +311,6 @@ def marks(text: str, ordinary: dict[str, int]) -> list[tuple[int, str, str]]:
             out.append((n, "furniture", ""))
         elif like or marked:
             unsure.append(i)
-    place = {i: k for k, i in enumerate(full)}
     for again in (0, 1):
         for i in unsure:
             if i in gone:
@@ -267,7 +326,10 @@ def marks(text: str, ordinary: dict[str, int]) -> list[tuple[int, str, str]]:
                 gone.add(i)
                 out.append((i + 1, "furniture", ""))
             elif again:
-                out.append((i + 1, "furniture", fold(header_form(bare[i])[0])))
+                out.append((i + 1, "furniture", key_of(bare[i])))
+    pages = pages_of(lines)
+    if len(full) > 2 and (is_scan or len(pages) > 1):
+        out += [(i + 1, "edge", x) for i, x in running(bare, pages, gone, numbers, measure)]
     body = [i for i in full if i not in gone]
     for k, i in enumerate(body):
         line = bare[i]
@@ -409,10 +471,14 @@ def line_marks(df: DataFrame, ordinary: Broadcast, key: str = "chunk_id", doc: s
     t = spread(t.filter(F.col("k").isNotNull() & F.col("t").rlike(r"\S")))
     found = t.mapInArrow(run, "chunk_id string, doc string, line_no long, noise string, detail string").distinct()
     found = cut_lineage(found)  # read by three branches; it has a row for a marked line only
-    # an unsure header is one if other pages of the document have it too
-    unsure = found.filter((F.col("noise") == "furniture") & (F.col("detail") != ""))
-    seen = unsure.groupBy("doc", "detail").agg(F.count_distinct("chunk_id").alias("n"), F.count("*").alias("m")).filter("n > 1 or m > 1").select("doc", "detail")
-    sure = found.filter((F.col("noise") != "furniture") | (F.col("detail") == "")).unionByName(unsure.join(seen, ["doc", "detail"], "left_semi").withColumn("detail", F.lit("")))
+    # a line is a running one if the edges of other pages of the document have it too
+    parts = F.split("detail", "\t")
+    edge = found.filter("noise = 'edge'").select("chunk_id", "doc", "line_no", parts[0].alias("key"), parts[1].alias("context"), parts[2].cast("int").alias("pages"))
+    seen = edge.groupBy("doc", "key").agg(F.count_distinct("context").alias("n")).filter("n > 1")
+    unsure = found.filter((F.col("noise") == "furniture") & (F.col("detail") != "")).select("chunk_id", "doc", "line_no", F.col("detail").alias("key"), F.lit(2).alias("pages"))
+    again = edge.filter("pages > 0").drop("context").unionByName(unsure).join(seen, ["doc", "key"]).filter("n >= pages")
+    again = again.select("chunk_id", "doc", "line_no", F.lit("furniture").alias("noise"), F.lit("").alias("detail"))
+    sure = found.filter((F.col("noise") != "edge") & ((F.col("noise") != "furniture") | (F.col("detail") == ""))).unionByName(again)
     lines = sure.filter("noise = 'furniture'").select("chunk_id", "line_no").distinct()
     rest = sure.filter("noise <> 'furniture'").join(lines, ["chunk_id", "line_no"], "left_anti").select("chunk_id", "line_no", "noise", "detail")
     return lines.withColumn("noise", F.lit("furniture")).withColumn("detail", F.lit("")).unionByName(rest)

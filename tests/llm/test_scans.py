@@ -52,3 +52,28 @@ def test_empty(spark):
     words = ordinary_words(word_counts(df, "doc_id", "raw_content"))
     found = line_marks(df, spark.sparkContext.broadcast(words))
     assert words == {} and found.count() == 0 and repair(df, found).count() == 0
+
+
+def noise(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id string, chunk_id string, raw_content string")
+    found = line_marks(df, spark.sparkContext.broadcast({}))
+    return {(r.chunk_id, r.line_no) for r in found.filter("noise = 'furniture'").collect()}, df, found
+
+
+def page(n, *around):
+    body = [f"The supplier number {'abcdefgh'[n]} delivers all goods to the", f"company and the parties of lot {'stuvwxyz'[n]} postpone the", "payment until the deadline has passed for all of them."]
+    return "\n".join([*around[:-1], *body, *around[-1:]])
+
+
+def test_plain_running_lines_by_repetition(spark):
+    long = "Annual Report of the Directors and Auditors of the Company to the Members in General Meeting"
+    rows = [("d", f"c{n}", page(n, ("Annual Report", "Annua1 Report", "ANNUAL REPORT")[n % 3], "Arkel Holdings")) for n in range(4)]
+    rows += [("l", f"l{n}", page(n, long, "Arkel Holdings Company")) for n in range(4)]
+    rows += [("two", f"t{n}", page(n, "Arkel Holdings", "Statement of Accounts", "Group Secretary")) for n in range(4)]
+    rows += [("feed", "f", "\n\f".join(page(n, "Annual Report", "Arkel Holdings") for n in range(4)))]
+    # once in a document, or at the edges of copies of one page, is no repetition
+    rows += [("once", "o", page(0, "Annual Report", "Arkel Holdings"))] + [("copy", f"y{n}", page(0, "Annual Report", "Arkel Holdings")) for n in range(4)]
+    got, _, _ = noise(spark, rows)
+    want = {(f"{c}{n}", i) for c in "cl" for n in range(4) for i in (1, 5)}
+    want |= {(f"t{n}", i) for n in range(4) for i in (1, 2, 6)} | {("f", 5 * n + i) for n in range(4) for i in (1, 5)}
+    assert got == want
