@@ -196,6 +196,13 @@ def scanned(lines: list[str]) -> bool:
     return sum(1 for x in long if x[-1:].isalnum() or x[-1] in CUT_MARKS + ",'’") >= 2
 
 
+def in_ledger(bare: list[str], full: list[int], k: int) -> bool:
+    """Whether a line that ends or begins with a number stands beside another such line of other words."""
+    own = header_form(bare[full[k]])[0]
+    beside = [header_form(bare[full[j]]) for j in (k - 1, k + 1) if 0 <= j < len(full)]
+    return any(marked and not header_like(x) and not _close(x, own) for x, marked in beside)
+
+
 # ------------------------------------------------------------------ marks of a text
 
 
@@ -306,7 +313,7 @@ def marks(text: str, ordinary: dict[str, int]) -> list[tuple[int, str, str]]:
             continue
         form, marked = header_form(line)
         like = header_like(form)
-        if (marked and (is_scan or edge)) or (like and (edge and len(full) > 2 or form.isupper())):
+        if edge and (marked and (like or not in_ledger(bare, full, place[i])) or like and len(full) > 2):
             gone.add(i)
             out.append((n, "furniture", ""))
         elif like or marked:
@@ -316,13 +323,21 @@ def marks(text: str, ordinary: dict[str, int]) -> list[tuple[int, str, str]]:
             if i in gone:
                 continue
             k = place[i]
+            form = header_form(bare[i])[0]
+            like = header_like(form)
             near = [full[j] for j in (k - 1, k + 1) if 0 <= j < len(full)]
-            before, after = bare[full[k - 1]] if k else "", bare[full[k + 1]] if k + 1 < len(full) else ""
-            # the page ends here: other furniture beside it, or the sentence goes on behind it
-            goes_on = before and after and before[-1] not in ".?!;:" and (after[0].islower() or before[-1] in CUT_MARKS) and bare[i][0].isupper()
-            marked_form = FILE_NO.match(bare[i]) or CONFIDENTIAL.match(bare[i]) and _close(bare[i].split()[0], "confidential")
-            open_before = before and before[-1] not in ".?!;:\"" and bare[i][0].isupper()
-            if len(full) > 2 and (any(j in gone or j in unsure and bare[j] == bare[i] for j in near) or goes_on or open_before or marked_form):
+            lo, hi = k - 1, k + 1  # a footer and the header of the next page may be equal
+            while lo >= 0 and (full[lo] in gone or full[lo] in unsure and _close(header_form(bare[full[lo]])[0], form)):
+                lo -= 1
+            while hi < len(full) and (full[hi] in gone or full[hi] in unsure and _close(header_form(bare[full[hi]])[0], form)):
+                hi += 1
+            before, after = bare[full[lo]] if lo >= 0 else "", bare[full[hi]] if hi < len(full) else ""
+            # the page ends here: a page number or its own like beside it, or the sentence goes on behind it
+            inside = before and form[0].isupper() and not header_form(before)[1] and len(before) > 0.5 * measure
+            open_before = inside and before[-1] not in ".?!;:\""
+            goes_on = inside and after and not header_form(after)[1] and (after[0].islower() and (is_scan or open_before) or open_before and before[-1] in CUT_MARKS)
+            twin = hi - lo > 2 and any(j in unsure and _close(header_form(bare[j])[0], form) for j in near)
+            if len(full) > 2 and (goes_on or twin or is_scan and like and open_before or any(j in (gone if like else numbers) for j in near) and (like or not in_ledger(bare, full, k))):
                 gone.add(i)
                 out.append((i + 1, "furniture", ""))
             elif again:

@@ -77,3 +77,14 @@ def test_plain_running_lines_by_repetition(spark):
     want = {(f"{c}{n}", i) for c in "cl" for n in range(4) for i in (1, 5)}
     want |= {(f"t{n}", i) for n in range(4) for i in (1, 2, 6)} | {("f", 5 * n + i) for n in range(4) for i in (1, 5)}
     assert got == want
+
+
+def test_body_text_that_looks_like_furniture_stays(spark):
+    ledger = "\n".join([page(0, "Arkel file No. 12", ""), "Registration fees    250", "Late registration    30", "Deposit for keys    120", "12 | Annual charge", page(1, "", "- 7 -").strip()])
+    headed = ["\n".join([page(n, "").strip() + ".", "Fees – General", page(n + 2, "").strip(), "Fees – General", page(n + 4, "").strip()]) for n in range(2)]
+    rows = [("s", "ledger", ledger), *(("s", f"headed{n}", t) for n, t in enumerate(headed))]
+    got, df, found = noise(spark, rows)
+    last = len(ledger.split("\n"))
+    assert got == {("ledger", 1), ("ledger", last)}
+    clean = {r.chunk_id: r.clean for r in repair(df, found).collect()}
+    assert "Registration fees 250" in clean["ledger"] and "Deposit for keys 120" in clean["ledger"] and clean["headed0"].count("Fees – General") == 2
