@@ -23,9 +23,9 @@ Defined cases
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
@@ -52,36 +52,35 @@ LETTERS = re.compile(r"[^\W\d_]")
 # ------------------------------------------------------------------ vocabulary
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    docs: dict[str, set[str]] = {}
-    counts: Counter[str] = Counter()
-    n_docs = 0
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs: dict[int, set[str]] = {}
 
     def out() -> pa.RecordBatch:
-        rows = [*counts.items(), ("", n_docs)]
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows]), pa.array([n for _, n in rows], pa.int64())], names=["word", "n"])
+        sizes = [len(w) for w in docs.values()]
+        rows = pa.array([w for words in docs.values() for w in words], pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.fromiter(docs, "i8", len(docs)), sizes)), rows], names=["d", "word"])
 
+    n = 0
     for b in batches:
-        docs.clear()
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if text:
-                docs.setdefault(doc, set()).update(WORD.findall(text.lower()))
-        n_docs += len(docs)
-        for words in docs.values():
-            counts.update(words)
-        if len(counts) > 500_000:
+                words = docs.setdefault(doc, {""})
+                n -= len(words)
+                words.update(WORD.findall(text.lower()))
+                n += len(words)
+        if n > 500_000:
             yield out()
-            counts.clear()
-            n_docs = 0
-    if counts or n_docs:
+            docs.clear()
+            n = 0
+    if docs:
         yield out()
 
 
 def word_counts(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """(word, n): documents that hold the word, a document counting once for each scanned batch that has part of it.
-    The empty word has the number of all documents, counted likewise. Combined in the map before the shuffle."""
-    part = spread(df.select(F.coalesce(df[doc].cast("string"), F.lit("")).alias("d"), df[text].alias("t"))).mapInArrow(_count_words, "word string, n long")
-    return part.groupBy("word").agg(F.sum("n").alias("n"))
+    """(word, n): documents that hold the word; the empty word has the number of all documents. Documents are told apart by
+    a 64-bit hash; the words of a document are combined in the map before the distinct pairs are shuffled."""
+    part = spread(df.select(F.xxhash64(F.coalesce(df[doc].cast("string"), F.lit(""))).alias("d"), df[text].alias("t")))
+    return part.mapInArrow(_words_of, "d long, word string").distinct().groupBy("word").agg(F.count("*").alias("n"))
 
 
 def ordinary_words(counts: DataFrame, share: float = 0.0005, least: int = 6) -> dict[str, int]:

@@ -88,3 +88,11 @@ def test_body_text_that_looks_like_furniture_stays(spark):
     assert got == {("ledger", 1), ("ledger", last)}
     clean = {r.chunk_id: r.clean for r in repair(df, found).collect()}
     assert "Registration fees 250" in clean["ledger"] and "Deposit for keys 120" in clean["ledger"] and clean["headed0"].count("Fees – General") == 2
+
+
+def test_documents_count_once_however_rows_are_dealt(spark):
+    rows = [("hot", f"c{i}", "the agreernent ends") for i in range(40)] + [(f"d{i}", f"e{i}", "the agreement ends") for i in range(7)]
+    df = spark.createDataFrame(rows, "doc_id string, chunk_id string, raw_content string").repartition(13)
+    counts = word_counts(df, "doc_id", "raw_content")
+    assert {r.word: r.n for r in counts.collect()} == {"": 8, "the": 8, "ends": 8, "agreernent": 1, "agreement": 7}
+    assert set(ordinary_words(counts)) == {"the", "ends", "agreement"}
