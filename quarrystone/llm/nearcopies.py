@@ -3,8 +3,9 @@
 A text is its words; equal word sequences are one class and take part once. Every run of ``K`` words, labelled with its
 occurrence in the text, is hashed in each of ``tables`` orders; the ``picks`` smallest are kept in the order in which
 they stand in the text and hashed to the key of the table, so a key survives edits but not reordering of what it
-picked. Classes that share a key are candidates. A candidate pair is verified by banded alignment of its words, which
-settles most pairs, and by the exact overlap of its word runs where the band cannot (blocks moved around).
+picked. Classes that share a key are candidates unless the sizes of their sets forbid the similarity, which is exact. A candidate
+pair is verified by banded alignment of its words, which settles most pairs, and by the exact overlap of its word runs
+where the band cannot (blocks moved around).
 
 Large buckets are dealt into blocks that meet pairwise in tasks of their own, so no group is unbounded, dropped or
 capped. Copies are never multiplied before verification.
@@ -88,10 +89,8 @@ def label_occurrences(h: np.ndarray, text: np.ndarray) -> np.ndarray:
     return np.where(times > 0, mix(h + times * M2), h)
 
 
-def sketches(h: np.ndarray, sizes: np.ndarray, picks: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
-    """((tables, texts) keys, 64-bit signature of each text); ``h`` are the labelled run hashes of texts laid end to
-    end, each of at least ``picks`` runs. A signature has one bit of the first or second pick of each table."""
-    bits = np.zeros(len(sizes), "u8")
+def sketches(h: np.ndarray, sizes: np.ndarray, picks: int, tables: int) -> np.ndarray:
+    """(tables, texts) keys; ``h`` are the labelled run hashes of texts laid end to end, each of at least ``picks`` runs."""
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     out = np.empty((tables, len(sizes)), "u8")
     # the place in the text replaces the lowest bits, so a minimum tells where it stands
@@ -110,14 +109,11 @@ def sketches(h: np.ndarray, sizes: np.ndarray, picks: int, tables: int) -> tuple
             at.append(hit)
             if p + 1 < picks:
                 v[hit] |= ~mask
-        for p in range(min(2, picks)):
-            if p * tables + t < 64:
-                bits |= (mix(h[at[p]] + np.uint64(t)) & np.uint64(1)) << np.uint64(p * tables + t)
         key = np.full(len(sizes), np.uint64(t))
         for row in np.sort(np.stack(at), axis=0):
             key = mix(key * M2 + h[row])
         out[t] = key
-    return out, bits
+    return out
 
 
 def plan(n: int) -> tuple[int, int]:
@@ -176,17 +172,15 @@ def _sketch(least_words: int, picks: int, tables: int):
                 part = fresh[i : i + 1500]
                 sizes = np.array([len(w) for w in part])
                 h, n = run_hashes(known.hashes([x for w in part for x in w]), sizes)
-                keys, bits = sketches(label_occurrences(h, np.repeat(np.arange(len(n)), n)), n, picks, tables)
+                labelled = label_occurrences(h, np.repeat(np.arange(len(n)), n))
+                keys = sketches(labelled, n, picks, tables)
+                distinct = np.add.reduceat((labelled == h).astype("i8"), np.cumsum(n) - n)  # a first occurrence keeps its hash
                 rep = np.array(reps[i : i + 1500], "u8").view("i8")
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view("i8")), pa.array(np.tile(rep, tables)), pa.array(np.tile(bits.view("i8"), tables))], names=["key", "rep", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view("i8")), pa.array(np.tile(rep, tables)), pa.array(np.tile(distinct, tables))], names=["key", "rep", "size"])
 
     return run
 
 
-def same_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 64 - np.bitwise_count(a.view("u8") ^ b.view("u8")).astype("i8")
-
-
 def _pairs_of(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of all pairs within each group; groups of one size are expanded together."""
     sizes = np.diff(np.append(starts, n))
@@ -199,13 +193,14 @@ def _pairs_of(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.array([], "i8"), np.array([], "i8"))
 
 
-def _emit(rep: np.ndarray, sig: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int):
+def _emit(rep: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float):
     x, y = np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
-    ok = (x != y) & (same_bits(sig[a], sig[b]) >= bits)
+    # sets whose sizes differ more cannot overlap enough
+    ok = (x != y) & (np.minimum(size[a], size[b]) >= (threshold - 1e-12) * np.maximum(size[a], size[b]))
     return x[ok], y[ok]
 
 
-def _buckets(block: int, bits: int):
+def _buckets(block: int, threshold: float):
     """Pairs of buckets of at most ``block`` rows; the rows of larger ones go on with their key. A large bucket streams
     through: no more of it is held than a batch."""
 
@@ -222,7 +217,7 @@ def _buckets(block: int, bits: int):
             rows = np.repeat(large, sizes)
             small = t[~rows]
             at = np.flatnonzero(np.concatenate([[True], small[1:, 0] != small[:-1, 0]])) if len(small) else starts[:0]
-            a, b = _emit(small[:, 1], small[:, 2], *_pairs_of(at, len(small)), bits) if len(small) else (small[:, 1], small[:, 1])
+            a, b = _emit(small[:, 1], small[:, 2], *_pairs_of(at, len(small)), threshold) if len(small) else (small[:, 1], small[:, 1])
             big = t[rows]
             flag = np.concatenate([np.zeros(len(a), bool), np.ones(len(big), bool)])
             cols = [np.concatenate(x) for x in ((a, big[:, 1]), (b, big[:, 2]), (np.zeros(len(a), "i8"), big[:, 0]))]
@@ -249,27 +244,27 @@ def _buckets(block: int, bits: int):
     return run
 
 
-def _blocks(bits: int):
+def _blocks(threshold: float):
     """Pairs of the rows of a run (one pair of blocks of a large bucket)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, 3):
             a, b = _pairs_of(starts, t.num_rows)
-            x, y = _emit(t.column("rep").to_numpy(), t.column("sig").to_numpy(), a, b, bits)
+            x, y = _emit(t.column("rep").to_numpy(), t.column("size").to_numpy(), a, b, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
     return run
 
 
-def candidates(df: DataFrame, key: str, text: str, least_words: int, n: int, block: int = 64, bits: int = 41) -> DataFrame:
-    """(a, b) of classes that share a key and whose signatures agree in ``bits`` of 64."""
+def candidates(df: DataFrame, key: str, text: str, least_words: int, n: int, block: int = 64, threshold: float = 0.6) -> DataFrame:
+    """(a, b) of classes that share a key and whose sets of runs are of sizes that allow the similarity."""
     picks, tables = plan(n)
-    rows = _source(df, key, text, least_words).mapInArrow(_sketch(least_words, picks, tables), "key long, rep long, sig long")
-    met = rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_buckets(block, bits), "large boolean, a long, b long, key long")
+    rows = _source(df, key, text, least_words).mapInArrow(_sketch(least_words, picks, tables), "key long, rep long, size long")
+    met = rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_buckets(block, threshold), "large boolean, a long, b long, key long")
     met = cut_lineage(met.distinct())
-    large = block_keys(met.filter("large").select("key", F.col("a").alias("rep"), F.col("b").alias("sig")), ["key"], "rep", block)
+    large = block_keys(met.filter("large").select("key", F.col("a").alias("rep"), F.col("b").alias("size")), ["key"], "rep", block)
     by = ["key", "bi", "bj"]
-    more = large.select(*by, "rep", "sig").repartition(*by).sortWithinPartitions(*by).mapInArrow(_blocks(bits), "a long, b long")
+    more = large.select(*by, "rep", "size").repartition(*by).sortWithinPartitions(*by).mapInArrow(_blocks(threshold), "a long, b long")
     return met.filter(~F.col("large")).select("a", "b").unionByName(more).distinct()
 
 
@@ -308,7 +303,7 @@ def similar_classes(df: DataFrame, key: str = "chunk_id", text: str = "raw_conte
     (a bound on the broadcast), by a shuffled join beyond.
     """
     member = cut_lineage(classes(df, key, text, least_words))
-    pairs = cut_lineage(candidates(df, key, text, least_words, member.count()))
+    pairs = cut_lineage(candidates(df, key, text, least_words, member.count(), threshold=threshold))
     ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     first = cut_lineage(member.join(ids, "rep", "left_semi").groupBy("rep").agg(F.min("chunk_id").alias("chunk_id")))
     wanted = F.broadcast(first) if first.count() <= small else first

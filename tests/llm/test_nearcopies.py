@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from quarrystone.llm.nearcopies import _buckets, candidates, components, group_rows, label_occurrences, pair_rows, plan, similar_classes
+from quarrystone.llm.nearcopies import _buckets, _sketch, candidates, components, group_rows, label_occurrences, pair_rows, plan, similar_classes
 
 rng = random.Random(4)
 VOCAB = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(900)]
@@ -88,3 +88,27 @@ def test_small_rules(spark):
     df = spark.createDataFrame([], "chunk_id string, raw_content string")
     m, f = similar_classes(df)
     assert pair_rows(m, f).count() == 0 and group_rows(m, f).count() == 0
+
+
+def test_no_candidate_is_lost_after_the_keys(spark):
+    """Every true pair that shares a key is found."""
+    local, rows = random.Random(11), []
+    for g in range(2000):
+        base = [local.choice(VOCAB) for _ in range(60)]
+        other = list(base)  # in-place edits that leave little more than the threshold
+        for i in local.sample(range(60), 5):
+            other[i] = local.choice(VOCAB)
+        rows += [(f"a{g}", " ".join(base)), (f"b{g}", " ".join(other))]
+    df = spark.createDataFrame(rows, "chunk_id string, raw_content string")
+    s = {k: shingles(t) for k, t in rows}
+    true = {(f"a{g}", f"b{g}") for g in range(2000) if len(s[f"a{g}"] & s[f"b{g}"]) >= 0.6 * len(s[f"a{g}"] | s[f"b{g}"])}
+    picks, tables = plan(len(rows))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["chunk_id", "text"])
+    t = pa.Table.from_batches(_sketch(30, picks, tables)(iter([batch]))).to_pydict()
+    keys, order = {}, list(dict.fromkeys(t["rep"]))
+    for k, r in zip(t["key"], t["rep"]):
+        keys.setdefault(r, set()).add(k)
+    of = {rows[i][0]: keys[r] for i, r in enumerate(order)}
+    meet = {p for p in true if of[p[0]] & of[p[1]]}
+    got = {(r.chunk_id_a, r.chunk_id_b) for r in pair_rows(*similar_classes(df)).collect()}
+    assert len(order) == len(rows) and len(meet) > 500 and got == meet
