@@ -3,9 +3,9 @@
 A text is its words; equal word sequences are one class and take part once. Every run of ``K`` words, labelled with its
 occurrence in the text, is hashed in each of ``tables`` orders; the ``picks`` smallest are kept in the order in which
 they stand in the text and hashed to the key of the table, so a key survives edits but not reordering of what it
-picked. Classes that share a key are candidates unless the sizes of their sets forbid the similarity, which is exact. A candidate
-pair is verified by banded alignment of its words, which settles most pairs, and by the exact overlap of its word runs
-where the band cannot (blocks moved around).
+picked. Classes that share a key are candidates unless the sizes of their sets forbid the similarity, which is exact. The
+exact overlap of the word runs decides every candidate pair. Banded alignment of the words decides nothing; it measures
+the pairs that were found, where the aligned share is asked for.
 
 Large buckets are dealt into blocks that meet pairwise in tasks of their own, so no group is unbounded, dropped or
 capped. Copies are never multiplied before verification.
@@ -268,36 +268,45 @@ def candidates(df: DataFrame, key: str, text: str, least_words: int, n: int, blo
     return met.filter(~F.col("large")).select("a", "b").unionByName(more).distinct()
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, aligned: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
+        known, sets, held = Words(), {}, 0
         for b in batches:
             if not b.num_rows:
                 continue
-            a_ids, b_ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-            texts = dict(zip(a_ids.tolist(), b.column(2).to_pylist())) | dict(zip(b_ids.tolist(), b.column(3).to_pylist()))
-            words = {k: known.hashes(WORD.findall(t.lower())) for k, t in texts.items()}  # each text once a batch
-            sizes = np.array([len(w) for w in words.values()])
-            h, m = run_hashes(np.concatenate(list(words.values())), sizes)
-            sets = dict(zip(words, (np.unique(x) for x in np.split(h, np.cumsum(m)[:-1]))))
-            n = {k: len(v) for k, v in sets.items()}
-            # sets whose sizes differ too much cannot overlap enough
-            pairs = [(x, y) for x, y in zip(a_ids.tolist(), b_ids.tolist()) if min(n[x], n[y]) >= (threshold - 1e-12) * max(n[x], n[y])]
-            code = {k: (w & np.uint64(0x7FFFFFFF)).astype("u4") + np.uint32(1) for k, w in words.items()}
-            out = []
-            for (x, y), (length, edits) in zip(pairs, align([(code[x], code[y], 0) for x, y in pairs])):
-                both = len(sets[x]) + len(sets[y]) - len(np.union1d(sets[x], sets[y]))
-                similarity = both / (n[x] + n[y] - both)
+            a_ids, b_ids = b.column(0).to_pylist(), b.column(1).to_pylist()
+            if held > 5_000_000:  # run sets are kept from batch to batch
+                sets.clear()
+                held = 0
+            at = {k: (c, i) for c, ids in ((2, a_ids), (3, b_ids)) for i, k in enumerate(ids)}
+            fresh = [k for k in at if k not in sets]
+            if fresh:
+                words = [known.hashes(WORD.findall(b.column(c)[i].as_py().lower())) for c, i in map(at.__getitem__, fresh)]
+                h, m = run_hashes(np.concatenate(words), np.array([len(w) for w in words]))
+                for k, x in zip(fresh, np.split(h, np.cumsum(m)[:-1])):
+                    sets[k] = np.unique(x)
+                    held += len(sets[k])
+            out, rows = [], []
+            for r, (x, y) in enumerate(zip(a_ids, b_ids)):
+                p, q = sets[x], sets[y]
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                similarity = both / (len(p) + len(q) - both)
                 if similarity >= threshold - 1e-12:
-                    out.append((x, y, similarity, max(0, length - edits) / max(len(code[x]), len(code[y]))))
-            cols = list(zip(*out)) or [[]] * 4
+                    out.append((x, y, similarity))
+                    rows.append(r)
+            share: list[float | None] = [None] * len(out)
+            if aligned:
+                code = [[(known.hashes(WORD.findall(t.lower())) & np.uint64(0x7FFFFFFF)).astype("u4") + np.uint32(1) for t in b.column(c).take(pa.array(rows, pa.int64())).to_pylist()] for c in (2, 3)]
+                share = [max(0, length - edits) / max(len(v), len(w)) for v, w, (length, edits) in zip(*code, align([(v, w, 0) for v, w in zip(*code)]))]
+            cols = [*(list(zip(*out)) or [[]] * 3), share]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["a", "b", "similarity", "aligned"])
 
     return run
 
 
-def similar_classes(df: DataFrame, key: str = "chunk_id", text: str = "raw_content", threshold: float = 0.6, least_words: int = 30, small: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """((chunk_id, rep), (a, b, similarity, aligned)): the classes, and every verified pair of different ones.
+def similar_classes(df: DataFrame, key: str = "chunk_id", text: str = "raw_content", threshold: float = 0.6, least_words: int = 30, small: int = 200_000, aligned: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((chunk_id, rep), (a, b, similarity, aligned)): the classes, and every verified pair of different ones. The
+    share of the longer text's words that banded alignment matches is null unless ``aligned``.
 
     The texts of candidates are picked out of the scan by a broadcast of their keys while these are at most ``small``
     (a bound on the broadcast), by a shuffled join beyond.
@@ -310,16 +319,16 @@ def similar_classes(df: DataFrame, key: str = "chunk_id", text: str = "raw_conte
     source = df.select(df[key].cast("string").alias("chunk_id"), df[text].alias("text"))
     texts = source.join(wanted, "chunk_id").groupBy("rep").agg(F.first("text").alias("text"))
     both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
-    found = both.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long, similarity double, aligned double")
+    found = both.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold, aligned), "a long, b long, similarity double, aligned double")
     return member, cut_lineage(found)
 
 
 def pair_rows(member: DataFrame, found: DataFrame) -> DataFrame:
-    """(chunk_id_a, chunk_id_b, similarity) of all pairs of different keys, the smaller first."""
+    """(chunk_id_a, chunk_id_b, similarity, aligned) of all pairs of different keys, the smaller first."""
     x, y = member.select(F.col("rep").alias("a"), F.col("chunk_id").alias("ca")), member.select(F.col("rep").alias("b"), F.col("chunk_id").alias("cb"))
-    across = found.join(x, "a").join(y, "b").select("ca", "cb", "similarity")
-    within = x.join(y, (F.col("a") == F.col("b")) & (F.col("ca") < F.col("cb"))).select("ca", "cb", F.lit(1.0).alias("similarity"))
-    return across.unionByName(within).select(F.least("ca", "cb").alias("chunk_id_a"), F.greatest("ca", "cb").alias("chunk_id_b"), "similarity").distinct()
+    across = found.join(x, "a").join(y, "b").select("ca", "cb", "similarity", "aligned")
+    within = x.join(y, (F.col("a") == F.col("b")) & (F.col("ca") < F.col("cb"))).select("ca", "cb", F.lit(1.0).alias("similarity"), F.lit(1.0).alias("aligned"))
+    return across.unionByName(within).select(F.least("ca", "cb").alias("chunk_id_a"), F.greatest("ca", "cb").alias("chunk_id_b"), "similarity", "aligned").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -16,5 +16,10 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return group_rows(*similar_classes(table(spark, sf, "chunks")))
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}
+def p4_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs with their exact similarity and the share of their words that is aligned."""
+    return pair_rows(*similar_classes(table(spark, sf, "chunks"), aligned=True))
+
+
+QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p4_pairs": p4_pairs}
 SQL: dict[str, str] = {}

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from quarrystone.llm.nearcopies import _buckets, _sketch, candidates, components, group_rows, label_occurrences, pair_rows, plan, similar_classes
+from quarrystone.llm.q_nearcopies import QUERIES
 
 rng = random.Random(4)
 VOCAB = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(900)]
@@ -112,3 +113,12 @@ def test_no_candidate_is_lost_after_the_keys(spark):
     meet = {p for p in true if of[p[0]] & of[p[1]]}
     got = {(r.chunk_id_a, r.chunk_id_b) for r in pair_rows(*similar_classes(df)).collect()}
     assert len(order) == len(rows) and len(meet) > 500 and got == meet
+
+
+def test_aligned_share(spark):
+    base = [rng.choice(VOCAB) for _ in range(80)]
+    rows = [("a", " ".join(base)), ("b", " ".join(base[:40] + ["zzz"] + base[41:])), ("c", " ".join(base[40:] + base[:40])), ("d", ", ".join(base))]
+    df = spark.createDataFrame(rows, "chunk_id string, raw_content string")
+    got = {(r.chunk_id_a, r.chunk_id_b): r.aligned for r in pair_rows(*similar_classes(df, aligned=True)).collect()}
+    assert got["a", "b"] == 79 / 80 and got["a", "d"] == 1 and got["a", "c"] < 0.1  # moved out of the band
+    assert "p4_pairs" in QUERIES
