@@ -71,7 +71,7 @@ def stream_job_states(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_enqueue_once(spark: SparkSession, sf: str) -> DataFrame:
     e = jobs.event_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return jobs.run_to_table(jobs.enqueue_once(e, "event_id", "ts").select("event_id", "event_type"), _folder(spark))
+    return jobs.run_to_table(jobs.enqueue_once(e, "event_id", "ts", None).select("event_id", "event_type"), _folder(spark))
 
 
 QUERIES = {f.__name__: f for f in (embed_texts, propositions, hype_questions, decompose_queries, evidence_map, kmeans_clusters, summary_levels, stream_counts, stream_job_states, stream_enqueue_once)}

@@ -22,8 +22,11 @@ def event_stream(spark: SparkSession, folder: str, name: str, per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}.parquet*")
 
 
-def enqueue_once(events: DataFrame, key: str, at: str, delay: str = "10 minutes") -> DataFrame:
-    """Each key once within the lateness bound: repeated deliveries are dropped, and the state is too."""
+def enqueue_once(events: DataFrame, key: str, at: str, delay: str | None = "10 minutes") -> DataFrame:
+    """Each key once within the lateness bound: repeated deliveries are dropped, and the state is too. Rows later than the
+    bound are lost; without one (None) nothing is, in whatever order files are read, and the state holds every key."""
+    if delay is None:
+        return events.dropDuplicates([key])
     return events.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 

@@ -1,8 +1,10 @@
 """Streams over small folders: exactly once, folds over several batches, dead letters."""
 
+import time
 from datetime import datetime
 
 
+from quarrystone.plans.models import stream_enqueue_once
 from quarrystone.streaming import jobs
 
 
@@ -23,3 +25,12 @@ def test_stream_matches_batch(spark, tmp_path):
 def test_split_dead(spark):
     retry, dead = jobs.split_dead(spark.createDataFrame([(1, 2), (2, 3), (3, None)], "j long, attempt int"))
     assert sorted(r.j for r in retry.collect()) == [1, 3] and [(r.j, r.reason) for r in dead.collect()] == [(2, "max_retries")]
+
+
+def test_enqueue_once_keeps_rows_of_files_read_out_of_order(spark, tmp_path):
+    for n, month in enumerate((3, 1, 2)):  # read in the order in which they were written
+        rows = [(10 * n + i, datetime(2024, month, 1 + i), "view") for i in range(5)]
+        spark.createDataFrame(rows + rows[:2], "event_id long, ts timestamp, event_type string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+        time.sleep(1.1)
+    got = [r.event_id for r in stream_enqueue_once(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [10 * n + i for n in range(3) for i in range(5)]
