@@ -35,11 +35,12 @@ def claim_windows(candidates: DataFrame, corpus: DataFrame, width: int = 1, most
     """Sentence windows in which an earlier candidate claims its neighbours.
 
     ``candidates`` is (query_id, rank, chunk_id, doc_id, split_idx), at most ``most`` ranks a query (they are the result
-    of a top-k search); ``corpus`` is (chunk_id, doc_id, split_idx, text). The neighbours are joined first, so a
+    of a top-k search; a rank beyond that, or none, is an error); ``corpus`` is (chunk_id, doc_id, split_idx, text). The neighbours are joined first, so a
     query's group holds its candidates' windows only. A candidate that was claimed is dropped; one that can fetch
     nothing stays as it is.
     """
-    c = candidates.filter(F.col("rank") <= most)
+    beyond = F.raise_error(F.concat(F.lit(f"claim_windows takes ranks up to {most}, not "), F.coalesce(F.col("rank").cast("string"), F.lit("null"))))
+    c = candidates.withColumn("rank", F.when(F.col("rank") <= most, F.col("rank")).otherwise(beyond))
     near = c.withColumn("_at", F.explode(F.sequence(F.col("split_idx") - width, F.col("split_idx") + width)))
     text = corpus.select(F.col("doc_id"), F.col("split_idx").alias("_at"), F.col("chunk_id").alias("found_id"), F.col("text").alias("found_text"))
     rows = near.join(text, ["doc_id", "_at"], "left")

@@ -95,6 +95,14 @@ def test_windows_and_claims(spark):
     assert got == [("c1", 3, "t0\n\nt1\n\nt2"), ("c3", 1, "t3"), ("zz", 0, "")]
 
 
+def test_claims_beyond_the_bound_are_an_error(spark):
+    corpus = spark.createDataFrame([("c1", "d", 1, "t1")], "chunk_id string, doc_id string, split_idx int, text string")
+    for rank in (1001, None):
+        cand = spark.createDataFrame([(1, rank, "c1", "d", 1)], "query_id long, rank int, chunk_id string, doc_id string, split_idx int")
+        with pytest.raises(Exception, match="ranks up to 1000"):
+            windows.claim_windows(cand, corpus).collect()
+
+
 def test_metrics(spark):
     found = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3), (2, "x", 1), (3, "y", 1)], "query_id long, item_id string, rank int")
     rel = spark.createDataFrame([(1, "b"), (1, "c"), (1, "z"), (2, "q")], "query_id long, item_id string")
