@@ -1,8 +1,10 @@
 """Repair of text from scanned pages: furniture lines, words cut at line ends, misread characters.
 
-1. One pass counts every word of the corpus by the documents that hold it. The words that a small share of all
-   documents has are the *ordinary* words; their number is bounded by (words of a document) / share, however
-   large the corpus, so that table may be broadcast (the bound is checked).
+1. One pass counts every word of the corpus by the documents that hold it, in scanned text and in other text; the halves
+   of words cut at line ends do not count. The words that a small share of all documents has are the *ordinary* words,
+   unless they are misreadings: words of scanned text that undoing a confusion turns into a word many times as
+   frequent (``without_misreadings``). Their number is bounded by (words of a document) / share, however large the
+   corpus, so that table may be broadcast (the bound is checked).
 2. A second pass marks the lines of every text. Every line of a scanned text (or one with form feeds) that heads or ends a
    page, two deep, whatever its form or length, is grouped by document and folded form (letters that scanners confuse
    are folded, numbers dropped) and is furniture if that form stands at the edges of at least two pages with different
@@ -52,21 +54,33 @@ LETTERS = re.compile(r"[^\W\d_]")
 # ------------------------------------------------------------------ vocabulary
 
 
+#: Where a text was found to hold a word.
+SCANNED, PRINTED = 1, 2
+#: A word cut by a line end, both halves: neither is a word of its own.
+CUT_WORD = re.compile(rf"(?<!\S)\S+[{re.escape(CUT_MARKS)}][^\S\n]*\n\s*\S+")
+
+
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    docs: dict[int, set[str]] = {}
+    docs: dict[int, tuple[set[str], set[str]]] = {}
 
     def out() -> pa.RecordBatch:
-        sizes = [len(w) for w in docs.values()]
-        rows = pa.array([w for words in docs.values() for w in words], pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.fromiter(docs, "i8", len(docs)), sizes)), rows], names=["d", "word"])
+        d, words, seen = [], [], []
+        for doc, (scan, print_) in docs.items():
+            both = scan & print_
+            for part, bits in ((both, SCANNED | PRINTED), (scan - both, SCANNED), (print_ - both, PRINTED)):
+                d.append(np.full(len(part), doc, "i8"))
+                words += part
+                seen.append(np.full(len(part), bits, "i1"))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(d)), pa.array(words, pa.string()), pa.array(np.concatenate(seen))], names=["d", "word", "seen"])
 
     n = 0
     for b in batches:
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if text:
-                words = docs.setdefault(doc, {""})
+                scan = "\n" in text and (scanned(list(map(str.strip, text.split("\n")))) or "\f" in text)
+                words = docs.setdefault(doc, ({""}, {""}))[0 if scan else 1]
                 n -= len(words)
-                words.update(WORD.findall(text.lower()))
+                words.update(WORD.findall((CUT_WORD.sub(" ", text) if scan else text).lower()))
                 n += len(words)
         if n > 500_000:
             yield out()
@@ -77,18 +91,40 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_counts(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """(word, n): documents that hold the word; the empty word has the number of all documents. Documents are told apart by
-    a 64-bit hash; the words of a document are combined in the map before the distinct pairs are shuffled."""
+    """(word, n, n_scanned, n_printed): documents that hold the word, those that hold it in scanned text, and in other text;
+    the empty word has the number of all documents. Documents are told apart by a 64-bit hash; the words of a document
+    are combined in the map before the distinct pairs are shuffled, so batches and partitions do not matter."""
     part = spread(df.select(F.xxhash64(F.coalesce(df[doc].cast("string"), F.lit(""))).alias("d"), df[text].alias("t")))
-    return part.mapInArrow(_words_of, "d long, word string").distinct().groupBy("word").agg(F.count("*").alias("n"))
+    pairs = part.mapInArrow(_words_of, "d long, word string, seen byte").groupBy("word", "d").agg(F.bit_or("seen").alias("seen"))
+    held = lambda bit: F.count_if(F.col("seen").bitwiseAND(F.lit(bit)) != 0)
+    return pairs.groupBy("word").agg(F.count("*").alias("n"), held(SCANNED).alias("n_scanned"), held(PRINTED).alias("n_printed"))
 
 
-def ordinary_words(counts: DataFrame, share: float = 0.0005, least: int = 6) -> dict[str, int]:
+def ordinary_words(counts: DataFrame, share: float = 0.0005) -> dict[str, int]:
+    """The words that ``share`` of all documents have, but for those that are misreadings of another, with their documents."""
+    counts = cut_lineage(counts)  # a row for a word
     total = counts.filter("word = ''").agg(F.sum("n")).first()[0] or 0
-    rows = counts.filter((F.col("word") != "") & (F.col("n") >= max(least, total * share))).filter(~F.col("word").rlike(r"\d")).limit(MAX_ORDINARY + 1).collect()
+    rows = counts.filter((F.col("word") != "") & (F.col("n") >= total * share)).filter(~F.col("word").rlike(r"\d")).limit(MAX_ORDINARY + 1).collect()
     if len(rows) > MAX_ORDINARY:
         raise ValueError("more ordinary words than fit a broadcast; raise the share")
-    return {r.word: r.n for r in rows}
+    return without_misreadings({r.word: (r.n, r.n_scanned, r.n_printed) for r in rows})
+
+
+def without_misreadings(counts: dict[str, tuple[int, int, int]], times: int = 5, odds: float = 0.2) -> dict[str, int]:
+    """Documents of each word that is no misreading. A word is one if undoing one confusion gives a word of at least
+    ``times`` as many documents and it keeps to scanned text: its documents with it in other text, by those with it in
+    scanned text, are at most ``odds`` of the other word's. Where the other word has only scanned text too, four times as
+    many documents are asked for; of a word that one or two documents have, odds say nothing and the number decides. The
+    rule is the same for a corpus of any size."""
+
+    def misreading(w: str, n: int, scans: int, prints: int) -> bool:
+        for v in undone(w):
+            m, s, p = counts.get(v, (0, 0, 0))
+            if m >= times * n and (n <= 2 or scans and (prints * s <= odds * scans * p if p else prints == 0 and m >= 4 * times * n)):
+                return True
+        return False
+
+    return {w: n for w, (n, scans, prints) in counts.items() if not misreading(w, n, scans, prints)}
 
 
 # ------------------------------------------------------------------ misread words
@@ -107,10 +143,15 @@ def undone(word: str) -> Iterator[str]:
             yield word.replace(seen, printed)
 
 
+def too_short(w: str) -> bool:
+    """Whether a word has too few characters to be told from a misread one: two letters, which may be a word cut off."""
+    return len(w) < 3 and (len(w) < 2 or w.isalpha())
+
+
 def corrected(word: str, ordinary: dict[str, int]) -> str | None:
     """The ordinary word that ``word`` is a misreading of, or None."""
     w = word.lower()
-    if w in ordinary or len(w) < 3 or not LETTERS.search(w):
+    if w in ordinary or too_short(w) or not LETTERS.search(w):
         return None
     best, best_n = None, 0
     for v in undone(w):
@@ -123,7 +164,7 @@ def corrected(word: str, ordinary: dict[str, int]) -> str | None:
                 n = ordinary.get(u, 0)
                 if n > best_n:
                     best, best_n = u, n
-    if best is None or len(best) < 3:
+    if best is None or len(best) < min(3, len(w)):
         return None
     return best
 
@@ -401,7 +442,7 @@ def dull(token: str, ordinary: dict[str, int]) -> bool:
 
 def misread(w: str, opens: bool, ordinary: dict[str, int]) -> str | None:
     """The correction of a word, or None."""
-    if w.lower() in ordinary or len(w) < 3:
+    if w.lower() in ordinary or too_short(w):
         return None
     parts = re.split(r"([-‐])", w)
     if len(parts) > 1:  # a compound: each part for itself
@@ -549,4 +590,5 @@ def repair(df: DataFrame, found: DataFrame, key: str = "chunk_id", text: str = "
                 names=["chunk_id", "clean", "n_marks"],
             )
 
-    return base.join(per, "chunk_id", "left").mapInArrow(run, "chunk_id string, clean string, n_marks int").dropDuplicates(["chunk_id"])
+    once = base.join(per, "chunk_id", "left").dropDuplicates(["chunk_id"])  # on the partitions of the join: texts travel once
+    return once.mapInArrow(run, "chunk_id string, clean string, n_marks int")

@@ -1,6 +1,6 @@
 """Scan repair on a small corpus of known noise, and its defined cases."""
 
-from quarrystone.llm.scans import corrected, cut, fold, line_marks, marks, ordinary_words, repair, word_counts
+from quarrystone.llm.scans import corrected, cut, fold, line_marks, marks, ordinary_words, repair, without_misreadings, word_counts
 
 PROSE = "The long-term agreement covers every additional supplier of the company, and the parties will postpone the regular payment until the deadline. "
 
@@ -96,3 +96,30 @@ def test_documents_count_once_however_rows_are_dealt(spark):
     counts = word_counts(df, "doc_id", "raw_content")
     assert {r.word: r.n for r in counts.collect()} == {"": 8, "the": 8, "ends": 8, "agreernent": 1, "agreement": 7}
     assert set(ordinary_words(counts)) == {"the", "ends", "agreement"}
+
+
+def test_frequent_misreadings_are_no_ordinary_words():
+    counts = {"file": (9000, 6000, 8000), "filc": (90, 90, 1), "tile": (80, 50, 60), "undcr": (45, 45, 0), "under": (9000, 6000, 8000), "xyl": (300, 300, 0), "xyi": (4, 4, 0)}
+    # "filc" and "undcr" keep to scanned text; "tile" stands in other text as often as "file" does; "xyi" needs no other text
+    for scale in (1, 100):
+        assert set(without_misreadings({w: tuple(scale * x for x in c) for w, c in counts.items()})) == {"file", "tile", "under", "xyl"}
+    assert set(without_misreadings({"file": (100, 60, 80), "filc": (1, 1, 0)})) == {"file"}
+
+
+def test_short_words_with_a_sign():
+    words = {"of": 500, "to": 500, "is": 500}
+    text = "The deadline 0f the payment\nis due t0 the company 1s\nof no use"
+    assert {(n, k) for n, k, _ in marks(text, words) if k == "misread"} == {(1, "misread"), (2, "misread")}
+
+
+def test_same_rows_for_any_batch_size(spark):
+    df = spark.createDataFrame([(f"d{i % 37}", f"c{i}-{k}", t) for i in range(60) for k, (_, _, t, _) in enumerate(corpus()[28:32])], "doc_id string, chunk_id string, raw_content string")
+    before, got = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+    try:
+        for size in ("100", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            words = ordinary_words(word_counts(df, "doc_id", "raw_content"))
+            got.append({tuple(r) for r in line_marks(df, spark.sparkContext.broadcast(words)).collect()})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got[0] == got[1] and got[0]
