@@ -38,8 +38,14 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BITS = 22
 
 
+#: Letters in lower case, digits, and a blank for anything else, for texts of these characters only.
+PLAIN = bytes(ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(128)) + b" " * 128
+
+
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    return text.encode().translate(PLAIN).decode().split() if text.isascii() else WORD.findall(text.lower())
 
 
 def least_hits(span: int = SPAN, edits: int = EDITS, q: int = Q) -> int:
