@@ -22,6 +22,7 @@ STOP = re.compile(r"[.?!…。！？](?:[\"”»’')\]]+(?=\s|$))?")
 MARK = re.compile(r"(?:[•▪◦‣·*–—-]|\(?[a-z]{1,2}[.)]|\(?[ivx]{1,4}\)|\(\d{1,3}\)|\[\d{1,4}\]|\d{1,3}[.)]|\d{1,3}(?:\.\d{1,3}){1,3}\.?|§\s?\d+\.?)[ \t\xa0]+(?=\S)")
 NUMBERED = re.compile(r"(?:\(\d{1,3}\)|\[\d{1,4}\]|\d{1,3}[.)]|\d{1,3}(?:\.\d{1,3}){1,3}\.?|§\s?\d+\.?)[ \t\xa0]")
 TABLE = re.compile(r"\t|\S\s+[|;]\s+\S.*\s[|;]\s+\S|^\|.*\|")
+GLUED = re.compile(r"[^\W_]{2}[)\]]?[.?!][\"”]?([^\W\d_][^.?!]+)$")
 OPENER = re.compile(r"[\"“„«‘'(\[¿¡]*(?:[^\W\d_]|\d)|[§]")
 
 
@@ -43,7 +44,7 @@ def ends_sentence(text: str, at: int, stop: int, nxt: int) -> bool:
     while k and not text[k - 1].isspace() and text[k - 1] not in "(\"“[":
         k -= 1
     word = text[k:at]
-    glued = re.search(r"[^\W_]{2}[)\]]?[.?!][\"”]?([^\W\d_][^.?!]+)$", word)
+    glued = GLUED.search(word) if "." in word or "?" in word or "!" in word else None
     if glued:  # the word before had no blank after its own stop
         word = glued.group(1)
     low = word.lower()

@@ -119,7 +119,7 @@ def sketches(h: np.ndarray, sizes: np.ndarray, picks: int, tables: int) -> tuple
     return out, sig
 
 
-def plan(n: int, threshold: float = 0.6, miss: float = 0.002, order: float = 0.79) -> tuple[int, int]:
+def plan(n: int, threshold: float = 0.6, miss: float = 0.001, order: float = 0.76) -> tuple[int, int]:
     """(picks, tables) for ``n`` texts: one more pick for every hundredfold beyond a million keeps chance candidates
     in proportion to the texts, and as many tables as let a pair at the threshold go unmet with the chance ``miss``,
     whatever the picks. A table is met if all picks fall among the common runs, threshold ** picks, and every next pick stands
@@ -278,7 +278,7 @@ def _blocks(least: int):
     return run
 
 
-def parts_for(df: DataFrame, rows: int, row_bytes: int, most: int = 64_000_000) -> int:
+def parts_for(df: DataFrame, rows: int, row_bytes: int, most: int = 16_000_000) -> int:
     """Partitions of a shuffle of so many rows, each of about ``most`` bytes."""
     return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows * row_bytes / most))
 
@@ -288,7 +288,7 @@ def candidates(df: DataFrame, key: str, text: str, least_words: int, n: int, blo
     picks, tables = plan(n, threshold)
     least = least_agreement(threshold)
     rows = _source(df, key, text, least_words).mapInArrow(_sketch(least_words, picks, tables), "key long, rep long, sig long")
-    met = rows.repartition(parts_for(df, n * tables, 24), "key").sortWithinPartitions("key", "rep")
+    met = rows.repartition(parts_for(df, n * tables, 48), "key").sortWithinPartitions("key", "rep")
     met = cut_lineage(met.mapInArrow(_buckets(block, least), "large boolean, a long, b long, key long"))
     large = block_keys(met.filter("large").select("key", F.col("a").alias("rep"), F.col("b").alias("sig")), ["key"], "rep", block)
     by = ["key", "bi", "bj"]
