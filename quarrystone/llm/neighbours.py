@@ -2,13 +2,15 @@
 
 Every unit vector gets, in each of several tables, a key of ``parts`` signed axes: three rounds of random signs
 and a fast Hadamard transform, then the axis of largest magnitude and its sign. A vector is stored under its own
-key and also asks under the keys that take the second-best axis of one part. Rows of a bucket meet in one sorted
-run; each asker keeps its ``k`` best there by exact cosine, and the best over all tables are the answer.
+key in every table, and asks there and under a few further keys: of all keys that take the next best axis in one part of one
+table, those that lose least by it (query-directed probing). Rows of a bucket meet in one sorted run; each asker keeps its
+``k`` best there by exact cosine, and the best over all tables are the answer.
 
-Number of parts and tables follow the number of vectors (``plan``), so buckets stay small as the table grows.
-Buckets of more than ``block`` rows are dealt into blocks and every pair of blocks meets in a run of its own, so
-no run is unbounded and none is cut. Vectors that are equal up to length are collected first: only the ``k + 1``
-smallest ids of such a class take part, and the others take their answer from the smallest.
+Number of parts and tables follow the number of vectors (``plan``): buckets of some hundred rows keep the copies of a vector
+few, which is what is shuffled; comparing the rows of a bucket is one matrix product. Buckets of more than ``block`` rows
+are dealt into blocks and every pair of blocks meets in a run of its own, so no run is unbounded and none is cut. Vectors
+that are equal up to length are collected first: only the ``k + 1`` smallest ids of such a class take part, and the
+others take their answer from the smallest.
 
 Defined cases
   * a vector takes part if it has ``dims`` numbers, none null, NaN or infinite, not all zero; others get no rows;
@@ -34,10 +36,10 @@ from .runs import whole_groups
 ROUNDS = 3
 
 
-def plan(n: int, dims: int) -> tuple[int, int]:
-    """(parts of a key, tables) for ``n`` vectors; a part has twice as many values as the padded dimension."""
-    parts = max(2, round(math.log(max(n, 2)) / math.log(2 * pad(dims))))
-    return parts, math.ceil(8 * 1.5 ** (parts - 2))
+def plan(n: int, dims: int) -> tuple[int, int, int]:
+    """(parts of a key, tables, probes of a vector) for ``n`` vectors; a part has twice as many values as the padded dimension."""
+    parts = max(1, round(math.log(max(n, 600) / 600) / math.log(2 * pad(dims))))
+    return parts, math.ceil(5 * 1.6 ** (parts - 1)), 2 * parts
 
 
 def pad(dims: int) -> int:
@@ -55,8 +57,8 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(d)
 
 
-def axes(v: np.ndarray, table: int, part: int) -> np.ndarray:
-    """The two nearest signed axes of each unit vector under the pseudo-rotation of (table, part)."""
+def axes(v: np.ndarray, table: int, part: int, most: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` nearest signed axes of each unit vector under the pseudo-rotation of (table, part), and their magnitudes."""
     rng = np.random.default_rng((table << 8) + part)
     y = np.zeros((len(v), pad(v.shape[1])))
     y[:, : v.shape[1]] = v
@@ -64,10 +66,12 @@ def axes(v: np.ndarray, table: int, part: int) -> np.ndarray:
         y = hadamard(y * rng.choice([-1.0, 1.0], y.shape[1]))
     a = np.abs(y)
     r = np.arange(len(y))
-    first = a.argmax(axis=1)
-    a[r, first] = -1
-    both = np.stack([first, a.argmax(axis=1)], axis=1)
-    return both * 2 + (np.take_along_axis(y, both, axis=1) < 0)
+    at, size = np.empty((len(y), most), "i8"), np.empty((len(y), most))
+    for j in range(most):
+        at[:, j] = a.argmax(axis=1)
+        size[:, j] = a[r, at[:, j]]
+        a[r, at[:, j]] = -1
+    return at * 2 + (np.take_along_axis(y, at, axis=1) < 0), size
 
 
 def _matrix(c: pa.Array, dims: int) -> np.ndarray:
@@ -95,8 +99,8 @@ def usable(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
     return spread(v).mapInArrow(pack, "id long, vec binary, cell binary").select("id", "vec", F.xxhash64("cell").alias("cell"), F.md5("cell").alias("_m")).withColumn("cell", F.concat_ws("-", "cell", "_m")).drop("_m")
 
 
-def _keys(rows: DataFrame, dims: int, parts: int, tables: int, probes: int) -> DataFrame:
-    """(tab, bucket, stored, id, vec): where each vector is stored, and where it also asks."""
+def _keys(rows: DataFrame, dims: int, parts: int, tables: int, probes: int, nearest: int = 3) -> DataFrame:
+    """(tab, bucket, stored, id, vec): where each vector is stored and asks, and where it also asks."""
     size = 2 * pad(dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,17 +108,23 @@ def _keys(rows: DataFrame, dims: int, parts: int, tables: int, probes: int) -> D
             if not b.num_rows:
                 continue
             u = _unit(_matrix(b.column(1), dims))
+            own, loss, other, tab = [], [], [], []
             for t in range(tables):
-                both = [axes(u, t, p) for p in range(parts)]
-                # the probe takes the part whose second axis is nearly as good; parts are tried in order
-                for probe in range(min(probes, parts) + 1):
-                    bucket = np.zeros(len(u), dtype="i8")
-                    for p in range(parts):
-                        bucket = bucket * size + both[p][:, int(probe == p + 1)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(u), t, "i4")), pa.array(bucket), pa.array(np.full(len(u), probe == 0)), b.column(0), b.column(1)],
-                        names=["tab", "bucket", "stored", "id", "vec"],
-                    )
+                near = [axes(u, t, p, nearest) for p in range(parts)]
+                bucket = np.zeros(len(u), dtype="i8")
+                for at, _ in near:
+                    bucket = bucket * size + at[:, 0]
+                own.append(bucket)
+                for p, (at, magnitude) in enumerate(near):
+                    for j in range(1, nearest):
+                        tab.append(t)
+                        loss.append(magnitude[:, 0] - magnitude[:, j])
+                        other.append(bucket + (at[:, j] - at[:, 0]) * size ** (parts - 1 - p))
+            chosen = np.argsort(np.stack(loss, axis=1), axis=1, kind="stable")[:, :probes]
+            asks = np.take_along_axis(np.stack(other, axis=1), chosen, axis=1)
+            cols = [(np.full(len(u), t), own[t], True) for t in range(tables)] + [(np.array(tab)[chosen[:, i]], asks[:, i], False) for i in range(chosen.shape[1])]
+            for t, bucket, stored in cols:
+                yield pa.RecordBatch.from_arrays([pa.array(t.astype("i4")), pa.array(bucket), pa.array(np.full(len(u), stored)), b.column(0), b.column(1)], names=["tab", "bucket", "stored", "id", "vec"])
 
     return rows.select("id", "vec").mapInArrow(run, "tab int, bucket long, stored boolean, id long, vec binary")
 
@@ -164,14 +174,13 @@ def _meet(dims: int, k: int):
     return run
 
 
-def neighbours(df: DataFrame, key: str = "point_no", vector: str = "vector", dims: int = 64, k: int = 5, probes: int = 1, block: int = 2000) -> DataFrame:
+def neighbours(df: DataFrame, key: str = "point_no", vector: str = "vector", dims: int = 64, k: int = 5, block: int = 2000) -> DataFrame:
     """(id, other, similarity, place) of the ``k`` most similar vectors of every usable one."""
     rows = usable(df, key, vector, dims)
     rows = cut_lineage(rows.groupBy("id").agg(F.min_by("vec", "cell").alias("vec"), F.min("cell").alias("cell")))  # repeated rows
     w = W.partitionBy("cell").orderBy("id")
     reps = rows.withColumn("_p", F.row_number().over(w)).filter(F.col("_p") <= k + 1).select("id", "vec")
-    parts, tables = plan(rows.count(), dims)
-    keys = block_keys(_keys(reps, dims, parts, tables, probes), ["tab", "bucket"], "id", block)
+    keys = block_keys(_keys(reps, dims, *plan(rows.count(), dims)), ["tab", "bucket"], "id", block)
     by = ["tab", "bucket", "bi", "bj"]
     met = keys.select(*by, "stored", "id", "vec").repartition(*by).sortWithinPartitions(*by).mapInArrow(_meet(dims, k), "id long, other long, similarity double")
     order = W.partitionBy("id").orderBy(F.desc("similarity"), "other")
