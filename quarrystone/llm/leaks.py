@@ -4,14 +4,14 @@ Texts become their words, lower-cased and joined by one blank. Every character q
 among those of the items; a hit lies on a diagonal (place in the document minus place in the item). Two strings of
 ``span`` characters within ``edits`` edits share at least ``span + 1 - q * (edits + 1)`` q-grams, all within a band of
 diagonals no wider than the edits; overlapping bands that count fewer hits are dropped. What is left is verified by
-a banded alignment, and runs of ``run_words`` equal words are looked up exactly within the surviving pairs.
+alignment within the band: with edits, and, for runs of ``RUN_WORDS`` equal words, of whole words without any.
 
-The items go to every worker. Their size is checked: ``MAX_CHARS`` characters at a time, more of them in further
+The items go to every worker, which indexes them once. Their size is checked: ``MAX_CHARS`` characters at a time, more of them in further
 passes over the corpus, so the memory of a worker is bounded whatever the number of items. No shuffle of the corpus.
 
 Defined cases
   * a *word* is a longest run of letters and digits; texts without words, null and empty ones leak nothing;
-  * items of fewer than ``run_words`` words can leak by alignment only; null ids give no rows;
+  * items of fewer than ``RUN_WORDS`` words can leak by alignment only; null ids give no rows;
   * repeated documents or items count once; several passages of one item in a document give one row;
   * very long documents are handled whole; other columns are not read.
 """
@@ -19,10 +19,12 @@ Defined cases
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,16 +54,22 @@ def least_hits(span: int = SPAN, edits: int = EDITS, q: int = Q) -> int:
     return span + 1 - q * (edits + 1)
 
 
-def qgram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
-    """A 64-bit hash of the q-gram at every place of an array of character codes."""
-    n = len(codes) - q + 1
+def qgram_hashes(codes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the q-gram at every place of an array of character codes: its characters as the digits of a number to
+    ``BASE``, put together from halves of 2, 4 and 8 characters."""
+    n = len(codes) - Q + 1
     if n <= 0:
         return np.array([], dtype="u8")
-    h = np.zeros(n, dtype="u8")
-    c = codes.astype("u8")
-    for j in range(q):
-        h *= BASE
-        h += c[j : j + n]
+    power = lambda k: np.uint64(pow(int(BASE), k, 2**64))
+    h, size, parts = codes.astype("u8"), 1, {}
+    while size <= Q:
+        parts[size] = h
+        h = h[:-size] * power(size) + h[size:]
+        size *= 2
+    h, done = np.zeros(n, "u8"), 0
+    for size in sorted((x for x in parts if x & Q), reverse=True):  # the halves whose sizes sum up to Q
+        h = h * power(size) + parts[size][done : done + n]
+        done += size
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -72,6 +80,31 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
 
 
+class WordPlaces:
+    """The words of a text as numbers, and where they begin when joined by one blank."""
+
+    def __init__(self, words: list[str]):
+        self.code = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), "u8", len(words))
+        sizes = np.fromiter(map(len, words), "i8", len(words))
+        self.start = np.cumsum(sizes + 1) - sizes - 1
+        self.end = self.start + sizes
+
+    def within(self, lo: int, hi: int) -> np.ndarray:
+        """The words that lie whole in [lo, hi)."""
+        return self.code[np.searchsorted(self.start, lo) : np.searchsorted(self.end, hi, "right")]
+
+
+def equal_run(a: np.ndarray, b: np.ndarray, words: int = RUN_WORDS) -> bool:
+    """Whether an alignment without edits has so many words: equal ones along a diagonal of the table of both."""
+    same = a[:, None] == b[None, :]
+    run = same
+    for k in range(1, words):
+        run = run[:-1, :-1] & same[k:, k:]
+        if not run.any():
+            return False
+    return bool(run.any())
+
+
 class Items:
     """Index of the items of one pass: q-gram places, word runs and texts."""
 
@@ -79,7 +112,7 @@ class Items:
         self.ids = [i for i, _ in rows]
         words = [words_of(t) for _, t in rows]
         self.texts = [" ".join(w) for w in words]
-        self.runs = [{tuple(w[k : k + RUN_WORDS]) for k in range(len(w) - RUN_WORDS + 1)} for w in words]
+        self.words = [WordPlaces(w) for w in words]
         # the fewest hits of a band that may hold an equal run, or a span within the edits
         shortest = [min((len(" ".join(w[k : k + RUN_WORDS])) for k in range(len(w) - RUN_WORDS + 1)), default=SPAN) for w in words]
         self.need = np.array([max(1, min(n - Q + 1, least_hits())) for n in shortest], "i8")
@@ -170,22 +203,26 @@ def find(texts: list[str | None], items: Items) -> list[tuple[int, int, int, int
         k = key[o]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         count = np.diff(np.append(first, len(k)))
-        for f, c in zip(first, count):
-            h = o[f]
-            if c >= items.need[item[h]]:
-                on = place[o[f : f + c]]
-                keep.setdefault((int(doc[h]), int(item[h])), set()).add((int(band[h] * BAND - offset - shift + BAND // 2), int(on.min()), int(on.max())))
+        enough = count >= items.need[item[o[first]]]
+        for f, c in zip(first[enough], count[enough]):
+            h, on = o[f], place[o[f : f + c]]
+            keep.setdefault((int(doc[h]), int(item[h])), set()).add((int(band[h] * BAND - offset - shift + BAND // 2), int(on.min()), int(on.max())))
     order = [(d, i, g) for (d, i), bands in sorted(keep.items()) for g in sorted(bands)]
     coded = {d: codes_of(joined[d]) for d in {d for d, _, _ in order}}
+    placed = {d: WordPlaces(words[d]) for d in coded}
+    equal = set()
+    for d, i, (diagonal, first, last) in order:
+        if (d, i) not in equal:
+            lo, hi = first, last + Q  # of the item; the same characters of the document lie on the band's diagonals
+            if equal_run(placed[d].within(lo + diagonal - BAND, hi + diagonal + BAND), items.words[i].within(lo, hi)):
+                equal.add((d, i))
     scored: dict[tuple[int, int], tuple[int, int]] = {}
     for (d, i, _), x in zip(order, align([region(coded[d], codes_of(items.texts[i]), *g) for d, i, g in order])):
         scored[d, i] = max(scored.get((d, i), (0, 0)), x, key=lambda y: y[0] - 3 * y[1])
     out = []
     for (d, i), (length, edits) in scored.items():
-        w, runs = words[d], items.runs[i]
-        equal = any(tuple(w[k : k + RUN_WORDS]) in runs for k in range(len(w) - RUN_WORDS + 1))
-        if equal or length >= SPAN and edits * SPAN <= EDITS * length:
-            out.append((d, i, length, edits, equal))
+        if (d, i) in equal or length >= SPAN and edits * SPAN <= EDITS * length:
+            out.append((d, i, length, edits, (d, i) in equal))
     return out
 
 
@@ -199,17 +236,23 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     out = None
     for p in range(passes):
         rows = it.filter(F.pmod(F.xxhash64("i"), F.lit(passes)) == p).distinct().collect() if passes > 1 else it.distinct().collect()
-        index = docs.sparkSession.sparkContext.broadcast([(r.i, r.t) for r in rows])
+        index = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r.i, r.t) for r in rows]))
         found = d.mapInArrow(_finder(index, batch_chars), "doc_id long, item_id long, aligned_chars int, edits int, equal_run boolean")
         out = found if out is None else out.unionByName(found)
     by = out.groupBy("doc_id", "item_id")
     return by.agg(F.max("aligned_chars").alias("aligned_chars"), F.min_by("edits", -F.col("aligned_chars")).alias("edits"), F.max("equal_run").alias("equal_run"))
 
 
+_indexes: dict[str, Items] = {}
+
+
 def _finder(index, batch_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = index.value
-        items = Items(rows)
+        name, rows = index.value
+        if name not in _indexes:  # one pass's index a worker
+            _indexes.clear()
+            _indexes[name] = Items(rows)
+        items = _indexes[name]
         for b in batches:
             ids, texts, at = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
             while at < len(texts):

@@ -129,11 +129,13 @@ def _keys(rows: DataFrame, dims: int, parts: int, tables: int, probes: int, near
     return rows.select("id", "vec").mapInArrow(run, "tab int, bucket long, stored boolean, id long, vec binary")
 
 
-def block_keys(keys: DataFrame, by: list[str], ident: str, block: int) -> DataFrame:
+def block_keys(keys: DataFrame, by: list[str], ident: str, block: int, few: int = 100_000) -> DataFrame:
     """Adds ``bi`` and ``bj``: 0, 0 in ordinary buckets. A bucket of n > ``block`` rows has ceil(n / block) blocks by
-    hash; row x of block i goes to the runs (min(i, j), max(i, j)) of all j, so any two rows meet in one of them."""
+    hash; row x of block i goes to the runs (min(i, j), max(i, j)) of all j, so any two rows meet in one of them. The sizes
+    of at most ``few`` such buckets are broadcast, more are joined."""
     sizes = keys.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > block).select(*by, F.ceil(F.col("_n") / block).cast("int").alias("_b"))
-    k = keys.join(sizes, by, "left")
+    sizes = cut_lineage(sizes)  # a row for a bucket of more than ``block`` rows
+    k = keys.join(F.broadcast(sizes) if sizes.count() <= few else sizes, by, "left")
     mine = F.pmod(F.xxhash64(F.col(ident)), F.coalesce("_b", F.lit(1))).cast("int")
     k = k.withColumn("_i", mine).withColumn("_j", F.explode(F.sequence(F.lit(0), F.coalesce("_b", F.lit(1)) - 1)))
     return k.withColumn("bi", F.least("_i", "_j")).withColumn("bj", F.greatest("_i", "_j")).drop("_b", "_i", "_j")
@@ -184,7 +186,8 @@ def neighbours(df: DataFrame, key: str = "point_no", vector: str = "vector", dim
     by = ["tab", "bucket", "bi", "bj"]
     met = keys.select(*by, "stored", "id", "vec").repartition(*by).sortWithinPartitions(*by).mapInArrow(_meet(dims, k), "id long, other long, similarity double")
     order = W.partitionBy("id").orderBy(F.desc("similarity"), "other")
-    best = met.distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    met = met.repartition("id").dropDuplicates(["id", "other"])  # one shuffle serves this and the ranks
+    best = met.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
     best = cut_lineage(best)
     # members of a class beyond its k + 1 smallest ids
     lead = rows.groupBy("cell").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter(F.col("n") > k + 1)

@@ -3,7 +3,9 @@
 A batch of texts is split by the tokenizer's pattern. Its distinct pieces that this worker has not met yet
 become token-position rows; one recursive query joins neighbouring rows with the merge table and contracts, in
 each piece, the leftmost pair of least rank until no pair is left; an ordered aggregation gives the ids. Pieces
-longer than ``LONG_BYTES`` run apart from the others, so that short ones are not visited for as many steps.
+longer than ``LONG_BYTES`` run apart from the others, so that short ones are not visited for as many steps, and contract
+all disjoint pairs of least rank in a step. That gives the same ids where no merge ranks below the one that made its
+parts, as is so in trained tables; it is checked when the table is loaded. The database never spills to a local disk.
 
 Defined cases: null and empty texts give an empty list; text that spells a special token is ordinary text;
 lone surrogates cannot occur (Parquet strings are UTF-8); repeated doc_ids give one row each; every other
@@ -27,17 +29,29 @@ LONG_BYTES = 64
 CACHE = 200_000
 BATCH_CHARS = 4_000_000
 
+#: A step contracts in each piece the leftmost pair of least rank.
+LEFTMOST = """
+best AS (SELECT c.w, arg_min({'pos': c.pos, 'gone': c.next_pos, 'tok': m.made}, m.rank::BIGINT * 4294967296 + c.pos) AS b
+         FROM cur c JOIN merges m ON m.l = c.tok AND m.r = c.next_tok GROUP BY c.w),
+done AS (SELECT w, b.pos AS pos, b.gone AS gone, b.tok AS tok FROM best)
+"""
+#: A step contracts in each piece all pairs of least rank, from the left; of overlapping ones every other.
+ALL_DISJOINT = """
+met AS (SELECT c.w, c.pos, c.next_pos AS gone, c.i, c.tok = c.next_tok AS twin, m.made AS tok, m.rank, min(m.rank) OVER (PARTITION BY c.w) AS least
+        FROM cur c JOIN merges m ON m.l = c.tok AND m.r = c.next_tok),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY w ORDER BY pos) AS run FROM met WHERE rank = least),
+done AS (SELECT w, pos, gone, tok FROM (SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY pos) AS k FROM runs) WHERE NOT twin OR k % 2 = 1)
+"""
 ENCODE = """
 WITH RECURSIVE st(w, pos, tok) USING KEY (w, pos) AS (
   SELECT w, pos, tok FROM init
   UNION
   (WITH active AS (SELECT DISTINCT w FROM st),
-        cur AS (SELECT w, pos, tok, lead(tok) OVER q AS next_tok, lead(pos) OVER q AS next_pos
+        cur AS (SELECT w, pos, tok, lead(tok) OVER q AS next_tok, lead(pos) OVER q AS next_pos, row_number() OVER q AS i
                 FROM recurring.st JOIN active USING (w) WHERE tok >= 0
                 WINDOW q AS (PARTITION BY w ORDER BY pos)),
-        best AS (SELECT c.w, arg_min({'pos': c.pos, 'gone': c.next_pos, 'tok': m.made}, m.rank::BIGINT * 4294967296 + c.pos) AS b
-                 FROM cur c JOIN merges m ON m.l = c.tok AND m.r = c.next_tok GROUP BY c.w)
-   SELECT w, b.pos, b.tok FROM best UNION ALL SELECT w, b.gone, -1 FROM best)
+        {step}
+   SELECT w, pos, tok FROM done UNION ALL SELECT w, gone, -1 FROM done)
 )
 SELECT w, list(tok ORDER BY pos) AS ids FROM st WHERE tok >= 0 GROUP BY w ORDER BY w
 """
@@ -68,14 +82,21 @@ class Encoder:
                 "rank": pa.array(range(len(pairs)), pa.int32()),
             }
         )
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "400MB"})
+        # what a merge makes must be merged later: then all pairs of least rank may be contracted in one step
+        made, ranks = {}, {}
+        for rank, (a, b) in enumerate(pairs):
+            made[a + b] = max(rank, made.get(a + b, 0))
+            for x in (a, b):
+                ranks.setdefault(x, rank)
+        self.in_order = all(ranks.get(x, rank + 1) > rank for x, rank in made.items())
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "400MB", "temp_directory": ""})
         self.db.register("merge_rows", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
         self.db.unregister("merge_rows")
         self.split = regex.compile(PATTERN).findall
         self.known: dict[str, list[int]] = {}
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[str], step: str = LEFTMOST) -> None:
         raw = [p.encode("utf-8") for p in pieces]
         init = pa.table(
             {
@@ -85,7 +106,7 @@ class Encoder:
             }
         )
         self.db.register("init", init)
-        for w, ids in self.db.execute(ENCODE).fetchall():
+        for w, ids in self.db.execute(ENCODE.format(step=step)).fetchall():
             self.known[pieces[w]] = list(ids)
         self.db.unregister("init")
 
@@ -99,7 +120,7 @@ class Encoder:
             self.learn(short[i : i + 20_000])
         for p in new:
             if len(p.encode("utf-8")) > LONG_BYTES:
-                self.learn([p])
+                self.learn([p], ALL_DISJOINT if self.in_order else LEFTMOST)
         known = self.known
         return [[i for p in s for i in known[p]] for s in split]
 

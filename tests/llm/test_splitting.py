@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarrystone.llm.boundaries import boundaries
-from quarrystone.llm.splitting import RangeMax, boundary_rows, cuts, pieces
+from quarrystone.llm.splitting import Cuts, RangeMax, boundary_rows, cuts, pieces
 
 
 def starts(text):
@@ -41,6 +41,18 @@ def test_pieces_cover_the_text(text):
         assert s < s2 <= e < e2 + 1 and e - s2 <= 20 and e - s <= 100 and e2 - s2 <= 100
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab .\nB;1-", max_size=500))
+def test_cuts_are_the_strongest_of_their_window(text):
+    index, natural = Cuts(text), dict(boundaries(text))
+    assert index.natural() == sorted(natural.items())
+    strength = {p: natural.get(p, 1) for p in range(1, len(text)) if p in natural or not text[p].isspace() and text[p - 1].isspace()}
+    got = index.pieces(60, 10) if len(text) > 60 else []
+    for s, e in got[:-1]:
+        window = [p for p in range(s + 30, s + 61) if p in strength]
+        assert e == (max(window, key=lambda p: (strength[p], p)) if window else s + 60)
+
+
 def test_on_spark(spark):
     long = "The first sentence is here. " * 90 + "\f" + "And this is on the next page. " * 90
     rows = [("a", long, 4, "x"), ("a", long, 4, "x"), ("z", long, 0, "x"), ("n", long, None, "x"), ("w", "x" * 5000, 1, "x"), ("s", "short", 1, "x"), ("e", "", 1, "x"), ("u", None, 1, "x"), (None, long, 1, "x")]
@@ -56,4 +68,5 @@ def test_on_spark(spark):
     assert {r.page for r in got["z"] + got["n"]} == {None} and len(got["w"]) == 3
     b = boundary_rows(df).filter("chunk_id = 'a'").collect()
     assert len(b) == 179
+    assert {r.start_char for r in b if r.cut} == {r.start_char + r.n_chars for r in a[:-1]}
     assert pieces(df.limit(0)).count() == 0 and boundary_rows(df.limit(0)).count() == 0

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.llm.terms import record_totals, term_counts, term_rows
-from quarrystone.llm.tokens import TOKENIZERS, decode, encode
+from quarrystone.llm.tokens import TOKENIZERS, Encoder, decode, encode
 
 
 def test_terms_brute_force(spark):
@@ -62,3 +62,12 @@ def test_ids_empty_and_repeats(spark):
     assert encode(df).count() == 0
     df = spark.createDataFrame([(1, "a b")] * 2, "doc_id long, text string")
     assert encode(df).groupBy("doc_id").agg(F.count("*").alias("n")).first().n == 2
+
+
+def test_long_pieces():
+    tokenizers = pytest.importorskip("tokenizers")
+    file = f"{TOKENIZERS}/byte_bpe_50k.json"
+    enc, t, rng = Encoder(file), tokenizers.Tokenizer.from_file(file), random.Random(2)
+    assert enc.in_order
+    for x in ("a" * 100_000, " " * 50_001 + "x", "".join(rng.choice("etaoin") for _ in range(2500)), "abab" * 4001 + "a"):
+        assert enc.encode([x]) == [t.encode(x, add_special_tokens=False).ids], x[:10]
