@@ -33,7 +33,8 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, same: bool = F
     Both inputs are (id long, vec array<float>) of usable vectors. The queries go to the workers in blocks of at most
     ``query_block`` rows, one pass over the corpus per block; every partition keeps its ``k`` best per query, so only
     k x queries x partitions rows are shuffled. ``same`` keeps a query from finding itself. With ``list_column``
-    the result has that column too, and ``k`` rows for each of its values, found in the same pass.
+    the result has that column too, and ``k`` rows for each of its values, found in the same pass. This is a search for a
+    stated set of queries; where their number grows with the corpus, passes do too, and hashing is the way.
     """
     spark, out = queries.sparkSession, None
     rows = queries.select("id", "vec").limit(query_block + 1).toArrow()
@@ -93,21 +94,32 @@ def postings(corpus: DataFrame) -> DataFrame:
     return t.groupBy("item_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf) of (id, text): a term repeated in a query counts each time."""
+    return queries.select(F.col("id").alias("query_id"), F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def bm25_scores(q: DataFrame, p: DataFrame, n: int, mean: float | None, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, item_id, score, rank) of query terms and the postings (item_id, term, tf, length) that hold them, of a corpus of
+    ``n`` texts and so many terms in the ``mean``."""
+    df = p.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = k1 * (1 - b + b * F.col("length") / F.lit(float(mean or 1.0)))
+    scored = p.join(df, "term").join(q, "term").withColumn("s", F.col("qtf") * idf * F.col("tf") / (F.col("tf") + norm))
+    return ranked(scored.groupBy("query_id", "item_id").agg(F.round(F.sum("s"), 6).alias("score")), k)
+
+
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, item_id, score, rank) by BM25 over (id, text) tables; a term repeated in a query counts each time.
+    """(query_id, item_id, score, rank) by BM25 over (id, text) tables.
 
-    Only postings of query terms leave the scan: the terms are joined before the postings are counted. Statistics
-    (number of texts, mean length, document frequency) are of the whole corpus, texts without terms included.
+    Only postings of query terms leave the scan: a text's terms are cut down to those of the queries before they are
+    counted. Statistics (number of texts, mean length, document frequency) are of the whole corpus, texts without terms
+    included. ``bm25_scores`` over stored postings is the form for many searches.
     """
-    q = queries.select(F.col("id").alias("query_id"), F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = q.select("term").distinct()
+    q = query_terms(queries)
     corpus = spread(corpus.select("id", "text"))
     t = corpus.select(F.col("id").alias("item_id"), terms(F.coalesce("text", F.lit(""))).alias("t")).withColumn("length", F.size("t"))
     length = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"))
     stats = corpus.agg(F.count("*").alias("n"), F.avg(length).alias("mean")).first()
-    p = t.select("item_id", "length", F.explode("t").alias("term")).join(wanted, "term").groupBy("item_id", "length", "term").agg(F.count("*").alias("tf"))
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(float(stats.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = k1 * (1 - b + b * F.col("length") / F.lit(float(stats.mean or 1.0)))
-    scored = p.join(df, "term").join(q, "term").withColumn("s", F.col("qtf") * idf * F.col("tf") / (F.col("tf") + norm))
-    return ranked(scored.groupBy("query_id", "item_id").agg(F.round(F.sum("s"), 6).alias("score")), k)
+    p = t.select("item_id", "length", F.explode("t").alias("term")).join(q.select("term").distinct(), "term").groupBy("item_id", "length", "term").agg(F.count("*").alias("tf"))
+    return bm25_scores(q, p, stats.n, stats.mean, k, k1, b)

@@ -39,25 +39,63 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
     return v.select(F.col("point_no").alias("id"), F.col("vector").alias("vec"), "collection", "chunk_id", "doc_id").dropDuplicates(["id"])
 
 
-def path_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, path, rank, point, item_id): the hits of every collection; hits without a chunk keep their rank."""
+def query_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, text): the title of the document of each query's point."""
+    title = table(spark, sf, "document_metadata").filter("title <> ''").groupBy(F.col("document_id").alias("doc_id")).agg(F.min("title").alias("text"))
+    return points(spark, sf).filter(F.col("id") % 100 == 0).select("id", "doc_id").join(title, "doc_id").select("id", "text")
+
+
+LISTS = "query_id long, path string, rank int, item_id string, payload string"
+
+
+def dense_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The hits of every collection; hits without a chunk keep their rank. The payload is the point."""
     v = points(spark, sf)
     hits = retrieval.dense_topk(v.filter(F.col("id") % 100 == 0), v.filter(F.col("collection").isin(list(COLLECTIONS.values()))), same=True, list_column="collection")
     path = F.create_map(*[F.lit(x) for path, name in COLLECTIONS.items() for x in (name, path)])[F.col("collection")]
     hits = hits.select("query_id", path.alias("path"), "rank", F.col("item_id").alias("point"))
-    return hits.join(v.select(F.col("id").alias("point"), F.nullif(F.col("chunk_id"), F.lit("")).alias("item_id")), "point", "left")
+    hits = hits.join(v.select(F.col("id").alias("point"), F.nullif(F.col("chunk_id"), F.lit("")).alias("item_id")), "point", "left")
+    return hits.select("query_id", "path", "rank", "item_id", F.col("point").cast("string").alias("payload"))
+
+
+def text_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Path D: the chunks that the titles find by BM25. The payload is the document."""
+    c = table(spark, sf, "chunks").select(F.col("chunk_id").alias("id"), "doc_id", F.col("raw_content").alias("text")).dropDuplicates(["id"])
+    hits = retrieval.bm25_topk(query_texts(spark, sf), c)
+    hits = hits.join(c.select(F.col("id").alias("item_id"), F.col("doc_id").alias("payload")), "item_id")
+    return hits.select("query_id", F.lit("D").alias("path"), "rank", "item_id", "payload")
+
+
+def path_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, path, rank, item_id, payload) of the five paths; a path that cannot be planned has no rows."""
+    return fusion.isolated(spark, lambda: text_lists(spark, sf), LISTS).unionByName(fusion.isolated(spark, lambda: dense_lists(spark, sf), LISTS))
 
 
 def multi_path_retrieve(spark: SparkSession, sf: str) -> DataFrame:
-    return path_lists(spark, sf).select("query_id", "path", "rank", "point")
+    return path_lists(spark, sf).select("query_id", "path", "rank", "item_id", "payload")
+
+
+def paths_isolated(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits by path where the table of one path and a column of another are missing."""
+    broken = [lambda: spark.read.parquet(f"{sf}/no_such_index.parquet"), lambda: dense_lists(spark, sf).select("no_such_column")]
+    lists = fusion.isolated(spark, lambda: dense_lists(spark, sf), LISTS)
+    for build in broken:
+        lists = lists.unionByName(fusion.isolated(spark, build, LISTS))
+    return lists.groupBy("path").agg(F.count("*").alias("n_hits"))
 
 
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.reciprocal_rank_fusion(path_lists(spark, sf))
+    return fusion.reciprocal_rank_fusion(path_lists(spark, sf), payload="payload")
+
+
+def rrf_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """The general form with another constant: a path whose name stands in the sources so far is not appended."""
+    f = fusion.reciprocal_rank_fusion(path_lists(spark, sf), k=10)
+    return f.select("query_id", "item_id", "score", fusion.appended(F.split("sources", ",")).alias("sources"), "rank")
 
 
 def rrf_top(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.reciprocal_rank_fusion(path_lists(spark, sf), top_n=8)
+    return fusion.reciprocal_rank_fusion(path_lists(spark, sf), top_n=8, payload="payload")
 
 
 def confidence_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,16 +139,32 @@ p AS (
          CASE c.collection WHEN 'primary_v2' THEN 'PRIMARY' WHEN 'hype_v2' THEN 'B' WHEN 'propositions_v2' THEN 'C' ELSE 'A' END AS path,
          round(list_cosine_similarity(q.vec, c.vec), 6) AS s
   FROM p q JOIN p c ON q.id <> c.id WHERE q.id % 100 = 0 AND c.collection IN ('primary_v2', 'hype_v2', 'propositions_v2', 'clusters_v2')
+), title AS (
+  SELECT document_id AS doc_id, min(title) AS text FROM document_metadata WHERE title <> '' GROUP BY 1
+), bq AS (
+  SELECT query_id, term, count(*) AS qtf FROM (SELECT p.id AS query_id, unnest(regexp_extract_all(lower(t.text), '[\\p{L}\\p{N}_]+')) AS term FROM p JOIN title t USING (doc_id) WHERE p.id % 100 = 0) GROUP BY ALL
+), bd AS (
+  SELECT chunk_id, doc_id, regexp_extract_all(lower(coalesce(raw_content, '')), '[\\p{L}\\p{N}_]+') AS t FROM (SELECT DISTINCT ON (chunk_id) * FROM chunks)
+), bs AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS mean FROM bd
+), bp AS (
+  SELECT chunk_id, doc_id, len(t) AS length, term, count(*) AS tf FROM (SELECT chunk_id, doc_id, t, unnest(t) AS term FROM bd) WHERE term IN (SELECT term FROM bq) GROUP BY ALL
+), bdf AS (SELECT term, count(*) AS df FROM bp GROUP BY term
+), bh AS (
+  SELECT query_id, chunk_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS s
+  FROM bp JOIN bdf USING (term) JOIN bq USING (term), bs GROUP BY ALL
 ), lists AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY s DESC, point) AS rank FROM sims) WHERE rank <= 5
+  SELECT query_id, path, rank, item_id, payload FROM (SELECT query_id, path, item_id, point::VARCHAR AS payload, row_number() OVER (PARTITION BY query_id, path ORDER BY s DESC, point) AS rank FROM sims) WHERE rank <= 5
+  UNION ALL
+  SELECT query_id, 'D', rank, chunk_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM bh) WHERE rank <= 5
 ), seen AS (
-  SELECT *, CASE path WHEN 'PRIMARY' THEN 2 WHEN 'B' THEN 3 WHEN 'C' THEN 4 ELSE 5 END AS ord FROM lists WHERE item_id IS NOT NULL
+  SELECT *, CASE path WHEN 'D' THEN 1 WHEN 'PRIMARY' THEN 2 WHEN 'B' THEN 3 WHEN 'C' THEN 4 ELSE 5 END AS ord FROM lists WHERE item_id IS NOT NULL
 ), fused AS (
   SELECT query_id, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(ord * 1000 + rank) AS first,
-         array_to_string(list_transform(list_sort(list_distinct(list(ord || ':' || path))), lambda x: split_part(x, ':', 2)), ',') AS sources
+         array_to_string(list_transform(list_sort(list_distinct(list(ord || ':' || path))), lambda x: split_part(x, ':', 2)), ',') AS sources,
+         arg_min(payload, ord * 1000 + rank) AS payload
   FROM seen GROUP BY ALL
 ), ranked AS (
-  SELECT query_id, item_id, score, sources, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, item_id) AS rank FROM fused
+  SELECT query_id, item_id, score, sources, payload, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, item_id) AS rank FROM fused
 )"""
 _FEATURES = """
 , feat AS (
@@ -120,7 +174,7 @@ _FEATURES = """
   FROM ranked WHERE rank <= 5 GROUP BY query_id
 )"""
 
-QUERIES = {f.__name__: f for f in (dense_topk, bm25_topk, bm25_terms, multi_path_retrieve, rrf_fuse, rrf_top, confidence_features, retrieval_metrics, crag_merge, window_claims)}
+QUERIES = {f.__name__: f for f in (dense_topk, bm25_topk, bm25_terms, multi_path_retrieve, paths_isolated, rrf_fuse, rrf_sources, rrf_top, confidence_features, retrieval_metrics, crag_merge, window_claims)}
 SQL = {
     "dense_topk": """
 SELECT query_id, item_id, score, rank FROM (
@@ -139,7 +193,13 @@ SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITI
     "bm25_terms": r"""
 SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n_occurrences
 FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents) GROUP BY term""",
-    "multi_path_retrieve": "WITH " + _POINTS + " SELECT query_id, path, rank, point FROM lists",
+    "multi_path_retrieve": "WITH " + _POINTS + " SELECT query_id, path, rank, item_id, payload FROM lists",
+    "paths_isolated": "WITH " + _POINTS + " SELECT path, count(*) AS n_hits FROM lists WHERE path <> 'D' GROUP BY path",
+    "rrf_sources": "WITH "
+    + _POINTS
+    + """, g AS (SELECT query_id, item_id, round(sum(1.0::DOUBLE / (10 + rank)), 9) AS score, min(ord * 1000 + rank) AS first, list_sort(list_distinct(list(ord))) AS o FROM seen GROUP BY ALL)
+SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, item_id) AS rank,
+  array_to_string(list_transform(CASE WHEN list_contains(o, 2) THEN list_filter(o, lambda x: x <> 5) ELSE o END, lambda x: CASE x WHEN 1 THEN 'D' WHEN 2 THEN 'PRIMARY' WHEN 3 THEN 'B' WHEN 4 THEN 'C' ELSE 'A' END), ',') AS sources FROM g""",
     "rrf_fuse": "WITH " + _POINTS + " SELECT * FROM ranked",
     "rrf_top": "WITH " + _POINTS + " SELECT * FROM ranked WHERE rank <= 8",
     "confidence_features": "WITH "
