@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: The outcomes of a run.
 CATEGORIES = ["RETRIEVAL", "CITATION", "REASONING", "GENERATION", "CRAG", "SUCCESS"]
 
 

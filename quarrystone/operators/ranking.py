@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.scalars import given, overlap_coefficient
+from ..functions.scalars import given, overlap_coefficient, token_estimate
 from ..session import cut_lineage
+from .packing import prefix_pack
 
 
 def rerank(candidates: DataFrame, k: int | None = None, score: Column | None = None) -> DataFrame:
@@ -37,19 +38,26 @@ def ancestors(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise ValueError("the tree is too deep")
 
 
-def numbered_context(df: DataFrame, by: str, order: str, source: str, text: str) -> DataFrame:
-    """(by, context): every row as ``[i] (Source: s): text`` and a blank line, in order; a missing source is UNKNOWN."""
+def numbered_context(df: DataFrame, by: str, order: str, source: str, text: str, budget: int = 6000) -> DataFrame:
+    """(by, n_rows, context): the rows that fit the budget, each as ``[i] (Source: s): text`` and a blank line, in order; a missing
+    source is UNKNOWN. The budget bounds the row that a group becomes."""
+    packed = prefix_pack(df, by, order, token_estimate(F.col(text)), budget)
     i = F.row_number().over(W.partitionBy(by).orderBy(order))
     line = F.concat(F.lit("["), F.col("_i").cast("string"), F.lit("] (Source: "), F.coalesce(given(F.col(source)), F.lit("UNKNOWN")), F.lit("): "), F.coalesce(text, F.lit("")), F.lit("\n\n"))
-    g = df.withColumn("_i", i).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_i", line.alias("l")))).alias("_l"))
-    return g.select(by, F.array_join(F.transform("_l", lambda x: x["l"]), "").alias("context"))
+    g = packed.withColumn("_i", i).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_i", line.alias("l")))).alias("_l"))
+    return g.select(by, F.size("_l").cast("long").alias("n_rows"), F.array_join(F.transform("_l", lambda x: x["l"]), "").alias("context"))
 
 
-def first_alias(text: Column, registry: dict[str, list[str]]) -> Column:
-    """The canonical identifier of the first registry entry whose name stands in the text, by the registry's order."""
-    low, out = F.lower(text), None
+def first_alias(text: Column, registry: dict[str, list[str]], head: int = 3000) -> Column:
+    """The canonical identifier of the first registry entry one of whose names stands, as words, in the first ``head`` characters of
+    a text, by the registry's order."""
+    low, out = F.lower(F.substring(text, 1, head)), None
     for k, names in registry.items():
-        for a in names:
-            hit = F.contains(low, F.lit(a))
-            out = F.when(hit, k) if out is None else out.when(hit, k)
+        hit = low.rlike(whole_words(names))
+        out = F.when(hit, k) if out is None else out.when(hit, k)
     return F.lit(None).cast("string") if out is None else out
+
+
+def whole_words(names: list[str]) -> str:
+    """A pattern for any of the names with no letter or digit beside it."""
+    return r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(n.replace(".", r"\.") for n in names) + r")(?:$|[^\p{L}\p{N}])"

@@ -1,7 +1,7 @@
 """Recursive cluster summaries: k-means within bounded groups, a summary per cluster, level upon level.
 
-A document's nodes are dealt in reading order into groups of at most ``group`` nodes before they are clustered, so a
-document that holds a tenth of all chunks is many tasks and never one. Levels are built for all documents at once; each
+A document's nodes are dealt by hash into groups of about ``group`` nodes before they are clustered, so a document
+that holds a tenth of all chunks is many tasks and never one. Levels are built for all documents at once; each
 level is checkpointed and is at most a share of the one below, so the number of rounds is logarithmic.
 """
 
@@ -11,7 +11,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..session import cut_lineage
 from .providers import Provider, call, lead_sentences
@@ -41,8 +40,8 @@ def lloyd(x: np.ndarray, k: int, seed: int = 42, tries: int = 10, rounds: int =
 
 def clusters(nodes: DataFrame, size: int = 5, group: int = 200) -> DataFrame:
     """(doc_id, node_id, cluster) of nodes (doc_id, node_id, vec): about ``size`` nodes a cluster."""
-    w = W.partitionBy("doc_id").orderBy("node_id")
-    n = nodes.withColumn("part", F.floor((F.row_number().over(w) - 1) / group).cast("int"))
+    parts = nodes.groupBy("doc_id").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"))
+    n = nodes.join(parts, "doc_id").withColumn("part", F.pmod(F.xxhash64("node_id"), F.col("parts")).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node_id")

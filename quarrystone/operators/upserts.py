@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: The columns of a citation that a later write leaves alone.
 CITATION_KEEPS = ["document_version", "document_hash", "citation_confidence"]
 
 

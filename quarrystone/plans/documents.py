@@ -15,6 +15,11 @@ def chunks(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
     return table(spark, sf, "chunks").select("chunk_id", *cols).dropDuplicates(["chunk_id"])
 
 
+def chunk_rows(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
+    """Chunks as they are, for functions of a row, whose small results are made distinct instead."""
+    return table(spark, sf, "chunks").select("chunk_id", *cols)
+
+
 def citations(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "citation_references").distinct()
 
@@ -104,9 +109,9 @@ def citation_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def element_filter(spark: SparkSession, sf: str) -> DataFrame:
-    c = chunks(spark, sf, "raw_content", "obligations", "elements")
+    c = chunk_rows(spark, sf, "raw_content", "obligations", "elements")
     c = c.withColumn("_e", lookup.satisfied_elements(F.col("raw_content"), F.col("obligations"), F.col("elements")))
-    return c.select("chunk_id", "_e.missing", "_e.ratio", "_e.passes")
+    return c.select("chunk_id", "_e.missing", "_e.ratio", "_e.passes").distinct()
 
 
 def citation_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,27 +153,32 @@ def pack_budget(spark: SparkSession, sf: str) -> DataFrame:
     return packing.prefix_pack(_ranked(spark, sf), "doc_id", "rank", S.token_estimate(F.col("raw_content"))).select("doc_id", "chunk_id", F.col("running").cast("long").alias("running"))
 
 
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.prefix_pack(_ranked(spark, sf), "doc_id", "rank", S.token_estimate(F.col("raw_content")))
+
+
 def edge_interleave(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.interleave(_ranked(spark, sf), "doc_id", "rank").select("chunk_id", "doc_id", "position")
+    return packing.interleave(_packed(spark, sf), "doc_id", "rank").select("chunk_id", "doc_id", "position")
 
 
 def center_interleave(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.interleave(_ranked(spark, sf), "doc_id", "rank", "center").select("chunk_id", "doc_id", "position")
+    return packing.interleave(_packed(spark, sf), "doc_id", "rank", "center").select("chunk_id", "doc_id", "position")
 
 
 def _by_type(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks by document type, the longest first: the rank is a value of the row, so no type is numbered in one task."""
     c = chunks(spark, sf, "doc_id", "document_type", "raw_content").withColumn("query_id", F.coalesce(F.lower(F.trim("document_type")), F.lit("")))
-    w = windows.W.partitionBy("query_id").orderBy(F.desc(F.coalesce(F.length("raw_content"), F.lit(0))), "chunk_id")
-    return c.withColumn("rank", F.row_number().over(w)).withColumnRenamed("raw_content", "text")
+    rank = F.struct((-F.coalesce(F.length("raw_content"), F.lit(0))).alias("l"), F.col("chunk_id").alias("c"))
+    return c.withColumn("rank", rank).withColumnRenamed("raw_content", "text")
 
 
 def diversity_topn(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.per_document(_by_type(spark, sf), "query_id", "doc_id", "rank").select("query_id", "chunk_id", "rank")
+    return packing.per_document(_by_type(spark, sf), "query_id", "doc_id", "rank").select("query_id", "doc_id", "chunk_id")
 
 
 def assemble_context(spark: SparkSession, sf: str) -> DataFrame:
     a = packing.assemble(_by_type(spark, sf))
-    return a.select("query_id", "n_rows", F.col("n_tokens").cast("long").alias("n_tokens"), F.md5("context").alias("context_hash"))
+    return a.select("query_id", "n_rows", F.col("n_tokens").cast("long").alias("n_tokens"), F.md5("context").alias("context_hash"), F.size("context_map").alias("n_keys"))
 
 
 def neighbor_expand(spark: SparkSession, sf: str) -> DataFrame:
@@ -283,7 +293,8 @@ _TYPED = _C + """, t AS (
   SELECT coalesce(lower(trim(document_type)), '') AS query_id, chunk_id, doc_id, raw_content AS text,
          row_number() OVER (PARTITION BY coalesce(lower(trim(document_type)), '') ORDER BY coalesce(length(raw_content), 0) DESC, chunk_id) AS rank FROM c
 ), dv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) AS n FROM t) WHERE n <= 3)"""
-_POS = _C + ", r AS (SELECT chunk_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY split_idx) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM c)"
+_POS = _C + f""", k AS (SELECT chunk_id, doc_id, split_idx, sum(coalesce(len({_WORDS.format('raw_content')}) * 2, 0) + 20) OVER (PARTITION BY doc_id ORDER BY split_idx) AS running FROM c),
+r AS (SELECT chunk_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY split_idx) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM k WHERE running <= 6000)"""
 
 _FUNCTIONS = [
     chunk_lines, point_ids, query_hash, complexity_route, bbox_union, semantic_chunks, canonicalize, prefilter, trust_scores, web_topn, citation_verdicts, element_filter, citation_lookup, evidence_cache_join, map_success_gate,
@@ -332,10 +343,10 @@ FROM (SELECT DISTINCT * FROM ingestion_jobs WHERE document_id IS NOT NULL)) WHER
 SELECT * FROM r WHERE running <= 6000""",
     "edge_interleave": f"WITH {_POS} SELECT chunk_id, doc_id, (CASE WHEN i % 2 = 0 THEN i // 2 ELSE n - 1 - (i - 1) // 2 END + 1)::BIGINT AS position FROM r",
     "center_interleave": f"WITH {_POS} SELECT chunk_id, doc_id, (CASE WHEN i % 2 = 0 THEN (n + 1) // 2 - 1 - i // 2 ELSE (n + 1) // 2 + (i - 1) // 2 END + 1)::BIGINT AS position FROM r",
-    "diversity_topn": f"WITH {_TYPED} SELECT query_id, chunk_id, rank FROM dv",
+    "diversity_topn": f"WITH {_TYPED} SELECT query_id, doc_id, chunk_id FROM dv",
     "assemble_context": f"""WITH {_TYPED}, l AS (SELECT *, '[' || substr(chunk_id, 1, 13) || '] ' || coalesce(text, '') AS line FROM dv),
 s AS (SELECT *, (sum(len({_WORDS.format('line')}) * 2) OVER (PARTITION BY query_id ORDER BY rank))::BIGINT AS running FROM l)
-SELECT query_id, count(*) AS n_rows, max(running) AS n_tokens, md5(string_agg(line, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context_hash FROM s WHERE running <= 20400 GROUP BY query_id""",
+SELECT query_id, count(*) AS n_rows, count(*)::INT AS n_keys, max(running) AS n_tokens, md5(string_agg(line, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context_hash FROM s WHERE running <= 20400 GROUP BY query_id""",
     "neighbor_expand": f"""WITH {_C} SELECT a.chunk_id, count(*) AS n_parts, md5(coalesce(string_agg(b.raw_content, chr(10) || chr(10) ORDER BY b.split_idx), '')) AS window_hash
 FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.split_idx BETWEEN a.split_idx - 1 AND a.split_idx + 1 GROUP BY a.chunk_id""",
     "citation_precision": f"""WITH {_C}, x AS (SELECT DISTINCT pqac_id, document_id, trim(chunk_id) AS chunk_id FROM citation_references),

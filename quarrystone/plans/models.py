@@ -12,7 +12,7 @@ from ..operators import summaries
 from ..session import checkpoint_dir
 from ..sources.tables import table
 from ..streaming import jobs
-from .documents import chunks
+from .documents import chunk_rows, chunks
 from .search import points
 
 
@@ -21,13 +21,13 @@ def embed_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def propositions(spark: SparkSession, sf: str) -> DataFrame:
-    c = chunks(spark, sf, "doc_id", "raw_content").select("chunk_id", "doc_id", F.explode(P.call(P.triples, "array<string>", "raw_content")).alias("t"))
+    c = chunk_rows(spark, sf, "doc_id", "raw_content").select("chunk_id", "doc_id", F.explode(P.call(P.triples, "array<string>", "raw_content")).alias("t"))
     part = F.split("t", "\t")
     return c.select("chunk_id", "doc_id", part[0].alias("subject"), part[1].alias("predicate"), part[2].alias("object"), F.concat_ws(" ", part).alias("proposition")).distinct()
 
 
 def hype_questions(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks(spark, sf, "raw_content").select("chunk_id", P.call(P.questions, "array<string>", "raw_content").alias("questions"))
+    return chunk_rows(spark, sf, "raw_content").select("chunk_id", P.call(P.questions, "array<string>", "raw_content").alias("questions")).distinct()
 
 
 def decompose_queries(spark: SparkSession, sf: str) -> DataFrame:
