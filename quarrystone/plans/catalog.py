@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import documents, models, ranking, references, search
+from . import documents, jobs, models, ranking, references, search
 
-_MODULES = [search, ranking, documents, models, references]
+_MODULES = [search, ranking, documents, models, references, jobs]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}

@@ -1,4 +1,4 @@
-"""Structured Streaming over job events: counts, idempotent enqueueing, job state, dead letters.
+"""Structured Streaming over job events: counts, idempotent enqueueing, state machines, token filter, dead letters.
 
 Offsets and commits of the checkpoint take the place of a consumer group; a batch that is replayed writes the same
 files again, keyed by batch, so results are exactly once.
@@ -6,16 +6,17 @@ files again, keyed by batch, so results are exactly once.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType
 
-TERMINAL = ["purchase"]
-
+from ..functions.scalars import MARKER
+from ..operators.states import QUERY_ENDS, QUERY_STATES
 
 def event_stream(spark: SparkSession, folder: str, name: str, per_trigger: int = 1) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
@@ -30,10 +31,6 @@ def enqueue_once(events: DataFrame, key: str, at: str, delay: str | None = "10 m
     return events.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def windowed_counts(events: DataFrame, at: str, kind: str, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    return events.withWatermark(at, delay).groupBy(F.window(at, width), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), kind, "n")
-
-
 def job_states(events: DataFrame, key: str = "user_id", kind: str = "event_type", order: str = "event_id") -> DataFrame:
     """(job_id, state, n_events, n_errors) after each batch; the state of a job is that of its latest event."""
 
@@ -55,6 +52,61 @@ def job_states(events: DataFrame, key: str = "user_id", kind: str = "event_type"
     )
 
 
+def job_machine(events: DataFrame, key: str = "job_id", state: str = "state", order: str = "event_id", states: list[str] = QUERY_STATES, ends: list[str] = QUERY_ENDS) -> DataFrame:
+    """(job_id, state, n_steps) after each batch: an event moves a job to a later state only, and a terminal one is never left.
+    The state that is kept is the job's place, its name and its number of steps."""
+    at = {s: i for i, s in enumerate(states)} | {s: len(states) for s in ends}
+
+    def fold(ident, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now, name, steps = held.get if held.exists else (-1, "", 0)
+        for s in pd.concat(list(parts)).sort_values(order)[state]:
+            if at.get(s, -1) > now:
+                now, name, steps = at[s], s, steps + 1
+        held.update((now, name, steps))
+        yield pd.DataFrame({"job_id": [ident[0]], "state": [name], "n_steps": [steps]})
+
+    return (
+        events.select(key, state, order)
+        .groupBy(key)
+        .applyInPandasWithState(fold, "job_id long, state string, n_steps long", "now long, name string, steps long", "update", GroupStateTimeout.NoTimeout)
+    )
+
+
+#: Characters of a marker from its first one, and a marker or the beginning of one at the end of a text.
+MARKER_CHARS = 41
+WHOLE = re.compile(MARKER)
+OPEN_END = re.compile("(?:" + "|".join(re.escape("pqac-"[:n]) for n in range(5, 0, -1)) + r")[0-9a-f-]*$")
+
+
+def filtered(text: str, known: set[str]) -> str:
+    return WHOLE.sub(lambda m: m.group() if m.group() in known else "", text)
+
+
+def held_back(text: str) -> int:
+    """Where the part of a text begins that may be a marker still to be completed; its length if there is none."""
+    m = OPEN_END.search(text, max(0, len(text) - MARKER_CHARS + 1))
+    return m.start() if m else len(text)
+
+
+def token_filter(tokens: DataFrame) -> DataFrame:
+    """(job_id, seq, piece) of a stream of tokens (job_id, seq, token, known, last): markers of unknown citations are taken out, however they
+    are torn over tokens and batches. What may be the beginning of a marker waits in the state; the last token releases it.
+    ``known`` are the job's citations. Batches bring a job's tokens in order of seq."""
+
+    def fold(ident, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        wait, out = state.get[0] if state.exists else "", []
+        for r in pd.concat(list(parts)).sort_values("seq").itertuples():
+            text = filtered(wait + r.token, set(r.known))
+            cut = len(text) if r.last else held_back(text)
+            if cut:
+                out.append((ident[0], r.seq, text[:cut]))
+            wait = text[cut:]
+        state.update((wait,))
+        yield pd.DataFrame(out, columns=["job_id", "seq", "piece"])
+
+    return tokens.groupBy("job_id").applyInPandasWithState(fold, "job_id string, seq long, piece string", "wait string", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append", key: str | None = None) -> DataFrame:
     """Runs over all that is there and returns the written table; with ``key`` the latest row of each key.
 
