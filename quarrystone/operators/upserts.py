@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 CITATION_KEEPS = ["document_version", "document_hash", "citation_confidence"]
 
 
-def last_wins(df: DataFrame, key: str, *latest) -> DataFrame:
+def last_wins(df: DataFrame, key: str | list[str], *latest) -> DataFrame:
     """One row per key, the latest one; ``latest`` must make the order total."""
     w = W.partitionBy(key).orderBy(*[F.desc(c) for c in latest])
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
@@ -35,11 +35,11 @@ def fresh_only(df: DataFrame, at: str, now, days: int = 7) -> DataFrame:
     return df.filter(F.col(at) > now - F.expr(f"interval {days} days"))
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside the table and swaps the folders, so a table may be rewritten from itself."""
+def replace_table(df: DataFrame, path: str, *by: str) -> None:
+    """Writes beside the table, in folders by some columns if wanted, and swaps, so a table may be rewritten from itself."""
     spark = df.sparkSession
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    df.write.mode("overwrite").parquet(path + ".new")
+    (df.write.mode("overwrite").partitionBy(*by) if by else df.write.mode("overwrite")).parquet(path + ".new")
     target, fresh, gone = fs_path(path), fs_path(path + ".new"), fs_path(path + ".old")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(gone, True)

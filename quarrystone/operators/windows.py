@@ -21,6 +21,20 @@ def semantic_chunks(df: DataFrame, by: str, order: str, vector: str, page: Colum
     return df.withColumn("_new", F.coalesce(new, F.lit(False)).cast("int")).withColumn("chunk_no", F.sum("_new").over(w)).drop("_new")
 
 
+def chunk_texts(elements: DataFrame, by: str, order: str, text: str, page: str, box: str, vector: str, threshold: float = 0.85) -> DataFrame:
+    """(by, chunk_no, n, text, page, x0, y0, x1, y1) of the semantic chunks of elements: blank ones are dropped, texts joined by a
+    blank in order, the page is that of the chunk, the box is around all boxes there are."""
+    e = semantic_chunks(elements.filter(F.col(text).rlike(r"(?U)\S")), by, order, vector, F.col(page), threshold)
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    g = e.groupBy(by, "chunk_no").agg(
+        F.count("*").alias("n"),
+        F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("text"),
+        F.min(page).alias("page"),
+        *[f(F.col(box)[i]).alias(name) for i, (name, f) in enumerate((("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max)))],
+    )
+    return g
+
+
 def with_neighbours(df: DataFrame, doc: str, idx: str, text: str, ident: str, width: int = 1) -> DataFrame:
     """(ident, n_parts, window_text): every row's text with those up to ``width`` places around it, by an equi-join on
     the document and the place."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import answers, documents, jobs, models, ranking, references, search
+from . import answers, documents, jobs, models, ranking, references, search, store
 
-_MODULES = [search, ranking, documents, models, references, jobs, answers]
+_MODULES = [search, ranking, documents, models, references, jobs, answers, store]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}

@@ -21,6 +21,15 @@ def read_postings(spark: SparkSession, path: str, terms: list[str], buckets: int
     return spark.read.parquet(path).filter(F.col("bucket").isin(wanted) & F.col("term").isin(terms)).drop("bucket")
 
 
+def upsert_postings(new: DataFrame, path: str, buckets: int = 32) -> None:
+    """Postings of new or changed texts (id, text); all postings that an id had before go, so a text may lose terms."""
+    spark = new.sparkSession
+    fresh = postings(new).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    old = spark.read.parquet(path).join(new.select(F.col("id").alias("item_id")).distinct(), "item_id", "left_anti")
+    rows = old.select(*fresh.columns).unionByName(fresh)
+    replace_table(rows.repartition("bucket").sortWithinPartitions("term", "item_id"), path, "bucket")
+
+
 def upsert_vectors(new: DataFrame, path: str, key: str = "id") -> None:
     """Writes vectors by id; a new one replaces an old one of its id."""
     spark = new.sparkSession
