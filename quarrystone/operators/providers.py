@@ -63,17 +63,16 @@ def questions(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [f"What about {s.strip(' .?!').lower()}?" for s in SENTENCE.findall(t or "") if s.strip(" .?!\n")][:3])
 
 
-def best_evidence(pairs: pd.Series) -> pd.Series:
-    """The sentence of a text that shares most words with the question, or NO_EVIDENCE; pairs are joined by a tab."""
+def best_evidence(questions: pd.Series, texts: pd.Series) -> pd.Series:
+    """The sentence of a text that shares most words with its question, the first of equals, or NO_EVIDENCE."""
 
-    def of(p: str | None) -> str:
-        q, _, t = (p or "").partition("\t")
-        want = set(WORD.findall(q.lower()))
-        found = [(len(want & set(WORD.findall(s.lower()))), -i, s.strip()) for i, s in enumerate(SENTENCE.findall(t))]
+    def of(q: str | None, t: str | None) -> str:
+        want = set(WORD.findall((q or "").lower()))
+        found = [(len(want & set(WORD.findall(s.lower()))), -i, s.strip()) for i, s in enumerate(SENTENCE.findall(t or ""))]
         n, _, s = max(found, default=(0, 0, ""))
         return s if n else "NO_EVIDENCE"
 
-    return pairs.map(of)
+    return pd.Series([of(q, t) for q, t in zip(questions, texts)])
 
 
 def subqueries(texts: pd.Series) -> pd.Series:
@@ -81,13 +80,18 @@ def subqueries(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: list(dict.fromkeys([t or "", *[x.strip() for x in re.split(r"[;?]|, and ", t or "") if len(x.split()) > 3]]))[:4])
 
 
-def call(provider: Provider, kind: str, *columns: Column | str) -> Column:
-    """A provider as a column, over Arrow batches; several columns are joined by a tab."""
+def call(provider: Callable[..., pd.Series], kind: str, *columns: Column | str) -> Column:
+    """A provider as a column, over Arrow batches; it gets a Series for each of the columns."""
 
     @F.pandas_udf(kind)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def one(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield provider(part)
 
+    @F.pandas_udf(kind)
+    def several(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield provider(*part)
+
     cols = [F.col(c) if isinstance(c, str) else c for c in columns]
-    return run(cols[0] if len(cols) == 1 else F.concat_ws("\t", *cols))
+    return one(*cols) if len(cols) == 1 else several(*cols)

@@ -12,7 +12,7 @@ from ..operators import summaries
 from ..session import checkpoint_dir
 from ..sources.tables import table
 from ..streaming import jobs
-from .documents import chunk_rows, chunks
+from .documents import _C, chunk_rows, chunks
 from .search import points
 
 
@@ -75,7 +75,24 @@ def stream_enqueue_once(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (embed_texts, propositions, hype_questions, decompose_queries, evidence_map, kmeans_clusters, summary_levels, stream_counts, stream_job_states, stream_enqueue_once)}
+_SENTENCES = "regexp_extract_all(coalesce(raw_content, ''), '[^.?!]+[.?!]?')"
+_STRIP = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_VERBS = ", ".join(f"'{v}'" for v in sorted(P.VERBS))
 SQL = {
+    "hype_questions": f"""WITH {_C} SELECT chunk_id, list_transform(list_filter({_SENTENCES}, lambda x: trim(x, ' .?!' || chr(10)) <> '')[1:3], lambda x: 'What about ' || lower(trim(x, ' .?!')) || '?') AS questions FROM c""",
+    "propositions": rf"""WITH {_C}, s AS (SELECT chunk_id, doc_id, unnest({_SENTENCES}) AS s FROM c),
+w AS (SELECT chunk_id, doc_id, list_filter(string_split_regex(trim(s, ' .?!' || chr(10) || chr(9)), '[\s\p{{Z}}\x0b\x1c-\x1f]+'), lambda x: x <> '') AS w FROM s),
+v AS (SELECT *, list_min(list_filter(range(2, len(w) + 1), lambda i: list_contains([{_VERBS}], lower(w[i])))) AS at_ FROM w)
+SELECT DISTINCT chunk_id, doc_id, array_to_string(w[1:at_ - 1], ' ') AS subject, w[at_] AS predicate, array_to_string(w[at_ + 1:], ' ') AS object, array_to_string(w, ' ') AS proposition FROM v WHERE at_ < len(w)""",
+    "decompose_queries": rf"""WITH l AS (SELECT item_id, list_concat([coalesce(text, '')], list_filter(list_transform(string_split_regex(coalesce(text, ''), '[;?]|, and '), lambda x: {_STRIP.format('x')}), lambda x: len(list_filter(string_split_regex(x, '[\s\p{{Z}}]+'), lambda w: w <> '')) > 3)) AS l FROM eval_items),
+d AS (SELECT item_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:4] AS l FROM l)
+SELECT item_id, unnest(range(len(l)))::INT AS part_no, unnest(l) AS part FROM d""",
+    "evidence_map": rf"""WITH {_C}, x AS (SELECT DISTINCT pqac_id, text_span, lower(trim(chunk_id)) AS chunk_id FROM citation_references WHERE text_span IS NOT NULL),
+j AS (SELECT x.pqac_id, x.chunk_id, list_distinct(regexp_extract_all(lower(x.text_span), '[\p{{L}}\p{{N}}]+')) AS want, {_SENTENCES} AS s FROM x JOIN c ON x.chunk_id = c.chunk_id),
+u AS (SELECT pqac_id, chunk_id, want, unnest(range(len(s))) AS i, unnest(s) AS s FROM j),
+n AS (SELECT *, len(list_intersect(want, list_distinct(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}]+')))) AS n FROM u),
+b AS (SELECT *, row_number() OVER (PARTITION BY pqac_id, chunk_id, want ORDER BY n DESC, i) AS k FROM n WHERE n > 0)
+SELECT pqac_id, chunk_id, {_STRIP.format('s')} AS evidence FROM b WHERE k = 1""",
     "stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "stream_job_states": "SELECT user_id AS job_id, arg_max(event_type, event_id) AS state, count(*) AS n_events, count(*) FILTER (event_type = 'error') AS n_errors FROM events GROUP BY user_id",
     "stream_enqueue_once": "SELECT DISTINCT event_id, event_type FROM events",

@@ -220,6 +220,20 @@ SELECT w.query_id, coalesce(any_value(n.n), 0) AS n_relevant, round(coalesce(1.0
   round(CASE WHEN any_value(n.n) > 0 THEN sum(CASE WHEN hit = 1 AND rank <= 10 THEN hits / rank ELSE 0 END) / least(any_value(n.n), 10) ELSE 0 END::DOUBLE, 6) AS average_precision,
   round(CASE WHEN any_value(n.n) > 0 THEN sum(CASE WHEN rank <= 10 THEN hit ELSE 0 END) / any_value(n.n) ELSE 0 END::DOUBLE, 6) AS recall
 FROM w LEFT JOIN n ON w.query_id = n.query_id GROUP BY w.query_id""",
+    "window_claims": "WITH RECURSIVE "
+    + _POINTS.lstrip()
+    + """, ch AS (SELECT DISTINCT ON (chunk_id) chunk_id, doc_id, split_idx, raw_content AS text FROM chunks),
+k AS (SELECT r.query_id, r.rank, ch.chunk_id, ch.doc_id, ch.split_idx, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS n FROM ranked r JOIN ch ON r.item_id = ch.chunk_id),
+w AS (SELECT k.query_id, k.n, list({'i': ch.chunk_id, 't': ch.text} ORDER BY ch.split_idx) AS near FROM k JOIN ch ON ch.doc_id = k.doc_id AND ch.split_idx BETWEEN k.split_idx - 1 AND k.split_idx + 1 GROUP BY ALL),
+s AS (
+  SELECT DISTINCT query_id, 0::BIGINT AS n, []::VARCHAR[] AS seen, NULL::STRUCT(i VARCHAR, t VARCHAR)[] AS got FROM k
+  UNION ALL
+  SELECT k.query_id, k.n, CASE WHEN list_contains(seen, k.chunk_id) THEN seen ELSE list_concat(seen, list_filter(list_transform(coalesce(near, []), lambda x: x.i), lambda x: NOT list_contains(seen, x))) END,
+    CASE WHEN NOT list_contains(seen, k.chunk_id) THEN list_filter(coalesce(near, []), lambda x: NOT list_contains(seen, x.i)) END
+  FROM s JOIN k ON k.query_id = s.query_id AND k.n = s.n + 1 LEFT JOIN w ON w.query_id = k.query_id AND w.n = k.n
+)
+SELECT k.query_id, k.rank, k.chunk_id, len(got) AS n_parts, coalesce(array_to_string(list_filter(list_transform(got, lambda x: x.t), lambda x: x IS NOT NULL), chr(10) || chr(10)), '') AS window_text
+FROM s JOIN k ON s.query_id = k.query_id AND s.n = k.n WHERE got IS NOT NULL""",
     "crag_merge": "WITH "
     + _POINTS
     + _FEATURES
