@@ -10,10 +10,11 @@ Defined cases
   * a reference without a time resolves to nothing and is an orphan; a target without recorded_at never resolves anything;
   * empty inputs give empty results; other columns of the inputs are never read, whatever their names.
 
-Plan: targets shrink to one open-ended row per key plus the distinct closed intervals (partial aggregation
-before the shuffle), then one left anti join on the key with the interval as residual condition. Keys that
-hold a large share of the references are salted, and only their target rows are replicated; at most
-``1 / hot_share`` keys can be hot, so that list may be broadcast.
+Plan: the distinct keys of the references are anti-joined with the target keys; those that are left are joined back to
+their references, which are orphans at any time. The other references meet the validity intervals of their keys (one
+open-ended row per key plus the distinct closed ones, aggregated before the shuffle) in a left anti-join on the key with the
+interval as residual condition. Keys that hold a large share of the references are salted, and only their rows of the
+other side are replicated; at most ``1 / hot_share`` keys can be hot, so that list may be broadcast.
 """
 
 from __future__ import annotations
@@ -53,24 +54,30 @@ def targets(df: DataFrame, target: str, key: str, since: str = "recorded_at", un
     return opened.withColumn("until", F.lit(None).cast("timestamp")).unionByName(closed)
 
 
+def missing_keys(keys: DataFrame, valid: DataFrame) -> DataFrame:
+    """The distinct (target, key) of references that no target row ever had."""
+    return keys.select("target", "key").join(valid.select("target", "key").distinct(), ["target", "key"], "left_anti")
+
+
 def orphans(refs: DataFrame, valid: DataFrame, hot_share: float = 0.02, salts: int = 16) -> DataFrame:
-    """References of ``refs`` that no interval of ``valid`` covers at their time."""
+    """References of ``refs`` whose key is missing, or that no interval of ``valid`` covers at their time."""
     keys = refs.groupBy("target", "key").count()
     total = keys.agg(F.sum("count")).first()[0] or 0
     hot = F.broadcast(keys.filter(F.col("count") > max(1.0, total * hot_share)).select("target", "key", F.lit(salts).alias("_n")))
-    n = F.coalesce(F.col("_n"), F.lit(1))
+    n = F.coalesce(F.col("_n"), F.lit(1)).cast("bigint")
     r = refs.join(hot, ["target", "key"], "left").withColumn("_salt", F.pmod(F.xxhash64("record_id", "at"), n)).drop("_n")
-    v = valid.join(hot, ["target", "key"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), (n - 1).cast("bigint")))).drop("_n")
-    r, v = r.alias("r"), v.alias("v")
-    return r.join(
-        v,
-        (F.col("r.target") == F.col("v.target"))
-        & (F.col("r.key") == F.col("v.key"))
-        & (F.col("r._salt") == F.col("v._salt"))
-        & (F.col("v.since") <= F.col("r.at"))
-        & (F.col("v.until").isNull() | (F.col("v.until") > F.col("r.at"))),
-        "left_anti",
-    ).drop("_salt")
+
+    def replicated(side: DataFrame) -> DataFrame:
+        return side.join(hot, ["target", "key"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))).drop("_n")
+
+    by = ["target", "key", "_salt"]
+    missing = replicated(missing_keys(keys, valid))
+    absent = r.join(missing, by, "left_semi")
+    r, v = r.join(missing, by, "left_anti").alias("r"), replicated(valid).alias("v")
+    at_the_time = (F.col("v.since") <= F.col("r.at")) & (F.col("v.until").isNull() | (F.col("v.until") > F.col("r.at")))
+    same = [F.col(f"r.{c}") == F.col(f"v.{c}") for c in by]
+    late = r.join(v, same[0] & same[1] & same[2] & at_the_time, "left_anti")
+    return absent.unionByName(late).drop("_salt")
 
 
 def orphan_report(refs: DataFrame, found: DataFrame) -> DataFrame:
