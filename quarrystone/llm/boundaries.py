@@ -117,7 +117,7 @@ def boundaries(text: str) -> list[tuple[int, int]]:
             mark = None
         done = first < 0 or previous in ("row", "item") or closed(text, run_lo, prev_end, lo)
         kind = "prose"
-        if TABLE.search(line):
+        if ("\t" in line or "|" in line or ";" in line) and TABLE.search(line):
             kind = "row"
         elif mark:
             opens = line[mark.end() :]

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 OUT = "container_id long, chunk_id string, piece_no int, start_char long, n_chars long, place int"
 
 
@@ -67,7 +69,7 @@ def pack(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: floa
 
 def containers(df: DataFrame, key: str = "chunk_id", text: str = "raw_content", capacity: int = 6000, shard_chars: int = 12_000_000) -> DataFrame:
     items = df.select(df[key].cast("string").alias("chunk_id"), F.length(df[text]).cast("long").alias("n")).filter("chunk_id is not null and n > 0")
-    items = items.groupBy("chunk_id").agg(F.max("n").alias("n"))  # repeated rows
+    items = cut_lineage(items.groupBy("chunk_id").agg(F.max("n").alias("n")))  # repeated rows; keys and lengths, so the texts are read once
     total, count = items.agg(F.sum("n"), F.count("*")).first()
     shards = max(1, math.ceil((total or 0) / shard_chars), math.ceil(count / 200_000))
     pieces = items.select(

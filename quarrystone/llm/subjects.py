@@ -34,6 +34,7 @@ LETTER = re.compile(r"[^\W\d_]")
 WORD = re.compile(r"[^\W\d_]+")
 #: A quotation that a sentence only mentions, by verbs of the four languages.
 QUOTED = re.compile(r"\b(?:(?:quot|mention|cit)(?:es?|ed)|zitiert|erwähnt|mentionne|cita|menciona)\s+[\"“„«][^\"”“»]*[\"”“»]")
+QUOTES = "\"“„«"
 GRID = [0.2, 0.25, 0.3, 0.35, 0.4]
 
 
@@ -133,7 +134,7 @@ def sentence_hits(text: str | None, matcher: Matcher) -> tuple[int, list[list[in
     units = units_of(text) if text and not text.isspace() else []
     main, out = "", []
     for low, words in units:
-        hits = matcher.find(QUOTED.sub(" ", low))
+        hits = matcher.find(QUOTED.sub(" ", low) if any(q in low for q in QUOTES) else low)
         if hits:
             main = main or language_of([w for _, part in units for w in part])
             language = language_of(words, main)
