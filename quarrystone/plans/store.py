@@ -7,11 +7,12 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lookup, retrieval, upserts, windows
+from ..api import Service
+from ..operators import retrieval, upserts, windows
 from ..session import cut_lineage
 from ..sources import elements, index, registries, schemas
 from ..sources.tables import table
-from .documents import _C, _CASES, _TRUST, chunk_rows, chunks
+from .documents import _C, chunk_rows, chunks
 from .jobs import _folder
 from .search import SQL as _SEARCH
 from .search import points
@@ -108,7 +109,19 @@ def registry_rows(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "domain string, trust double, no_file boolean")
 
 
-_FUNCTIONS = [text_elements, file_elements, semantic_chunk_texts, feature_zip, bm25_stored, vector_upsert, bootstrap_tables, settings, document_lookup, cache_put_get, registry_rows]
+def service_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions queued twice, one in three of them cancelled, the others moved by events: the state of every job."""
+    service = Service(spark, _folder(spark, "service")).start()
+    q = table(spark, sf, "eval_items").select(F.col("text").alias("query"), "item_id")
+    ids = cut_lineage(service.enqueue(q).join(q, "query"))
+    service.enqueue(q)
+    service.cancel(ids.filter("item_id % 3 = 0"), "2024-01-01")
+    steps = F.when(F.col("item_id") % 2 == 0, F.array(F.lit("RUNNING"), F.lit("COMPLETED"))).otherwise(F.array(F.lit("MAP_PHASE"), F.lit("RUNNING")))
+    service.publish(ids.select("job_id", F.posexplode(steps).alias("seq", "state")).withColumn("seq", F.col("seq").cast("long")))
+    return service.job_states().join(ids.select("job_id", "item_id"), "job_id").select("item_id", "state")
+
+
+_FUNCTIONS = [service_jobs, text_elements, file_elements, semantic_chunk_texts, feature_zip, bm25_stored, vector_upsert, bootstrap_tables, settings, document_lookup, cache_put_get, registry_rows]
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 _VALUES = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 _COLUMNS = [(t, *c.strip().split(" ")) for t, s in schemas.TABLES.items() for c in s.split(",")]
@@ -125,6 +138,7 @@ g AS (SELECT *, (sum(new) OVER (PARTITION BY doc_id ORDER BY split_idx))::BIGINT
 SELECT doc_id, chunk_no, count(*) AS n, min(page) AS page, md5(string_agg(raw_content, ' ' ORDER BY split_idx)) AS text_hash, min(b[1]) AS x0, min(b[2]) AS y0, max(b[3]) AS x1, max(b[4]) AS y1 FROM g GROUP BY ALL""",
     "feature_zip": f"""WITH {_C}, z AS (SELECT chunk_id, unnest(range(greatest(len(coalesce(parties, [])), len(coalesce(obligations, [])))))::INT AS pos, parties, obligations FROM c)
 SELECT chunk_id, pos, parties[pos + 1] AS party, obligations[pos + 1] AS obligation FROM z""",
+    "service_jobs": "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'COMPLETED' WHEN item_id % 3 = 0 THEN 'CANCELLED' ELSE 'MAP_PHASE' END AS state FROM eval_items",
     "bm25_stored": _SEARCH["bm25_topk"],
     "vector_upsert": """WITH p AS (SELECT DISTINCT point_no AS id, doc_id FROM vector_points WHERE len(vector) = 64 AND list_max(list_transform(vector, lambda x: abs(x))) > 0)
 SELECT id, CASE WHEN id % 4 = 2 THEN 'old' ELSE doc_id END AS doc_id, 64 AS dims FROM p""",

@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from quarrystone.api import Service
 from quarrystone.operators import evaluation, fusion, judges, packing, ranking, windows
 from quarrystone.sources import index, schemas
 
@@ -95,3 +96,20 @@ def test_settings_and_tables(spark, tmp_path):
     spark.createDataFrame([("i", "t", 1, 2)], schemas.TABLES["postings"]).write.mode("overwrite").parquet(f"{tmp_path}/postings")
     schemas.bootstrap(spark, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/postings").count() == 1 and schemas.described(spark, str(tmp_path)).count() == 49
+
+
+def test_service(spark, tmp_path):
+    service = Service(spark, str(tmp_path)).start().start()
+    q = spark.createDataFrame([("what?",), ("who?",), ("what?",)], "query string")
+    ids = {r.query: r.job_id for r in service.enqueue(q).collect()}
+    assert len(ids) == 2 and {r.job_id for r in service.enqueue(q).collect()} == set(ids.values()) and service.read("queue").count() == 2
+    service.publish(spark.createDataFrame([(ids["what?"], 1, "RUNNING"), (ids["what?"], 2, "FAILED"), (ids["what?"], 3, "RUNNING")], "job_id string, seq long, state string"))
+    for _ in range(2):
+        service.cancel(spark.createDataFrame([(ids["who?"],), (ids["what?"],), ("no such job",)], "job_id string"), "2024-01-01")
+    assert {r.job_id: r.state for r in service.job_states().collect()} == {ids["what?"]: "FAILED", ids["who?"]: "CANCELLED"}
+    frames = [r.frame.split("\n")[0] for r in service.job_events(ids["what?"]).orderBy("seq").collect()]
+    assert frames == ["event: status", "event: failed"] and service.read("cancellations").count() == 2
+    files = spark.createDataFrame([("d1", "a.pdf"), ("d1", "b.pdf"), ("d1", "a.pdf")], "document_id string, file_path string")
+    service.ingest(files, "2024-01-01")
+    assert service.ingest(files, "2024-01-02").count() == 2 and service.read("ingestion_jobs").filter("status = 'QUEUED' and created_at < '2024-01-02'").count() == 2
+    assert service.citation("none").count() == 0 and service.document("none").count() == 0
