@@ -154,7 +154,7 @@ def best_of(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return r[place < k], c[place < k]
 
 
-def _meet(dims: int, k: int):
+def _meet(dims: int, k: int, rows: int = 1000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, 4):
             ids, stored = t.column("id").to_numpy(), t.column("stored").to_numpy(zero_copy_only=False)
@@ -164,19 +164,21 @@ def _meet(dims: int, k: int):
                 at = np.flatnonzero(stored[i:j]) + i
                 if not len(at) or j - i < 2:
                     continue
-                s = np.round(u[i:j] @ u[at].T, 6)
-                s[ids[i:j, None] == ids[None, at]] = -2
-                r, c = best_of(s, ids[at], k)
-                a.append(ids[i + r])
-                b.append(ids[at[c]])
-                sim.append(s[r, c])
+                for lo in range(i, j, rows):  # a bounded table of similarities at a time
+                    hi = min(j, lo + rows)
+                    s = np.round(u[lo:hi] @ u[at].T, 6)
+                    s[ids[lo:hi, None] == ids[None, at]] = -2
+                    r, c = best_of(s, ids[at], k)
+                    a.append(ids[lo + r])
+                    b.append(ids[at[c]])
+                    sim.append(s[r, c])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, sim)], names=["id", "other", "similarity"])
 
     return run
 
 
-def neighbours(df: DataFrame, key: str = "point_no", vector: str = "vector", dims: int = 64, k: int = 5, block: int = 2000) -> DataFrame:
+def neighbours(df: DataFrame, key: str = "point_no", vector: str = "vector", dims: int = 64, k: int = 5, block: int = 4000) -> DataFrame:
     """(id, other, similarity, place) of the ``k`` most similar vectors of every usable one."""
     rows = usable(df, key, vector, dims)
     rows = cut_lineage(rows.groupBy("id").agg(F.min_by("vec", "cell").alias("vec"), F.min("cell").alias("cell")))  # repeated rows
