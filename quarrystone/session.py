@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(name: str = "quarrystone", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(name: str = "quarrystone", master: str | None = None, shuffle_partitions: int | None = None, **settings: str) -> SparkSession:
+    """A session with the settings this package expects; ``settings`` are further ones, with underscores for the dots."""
     b = (
         SparkSession.builder.appName(name)
         .config("spark.sql.session.timeZone", "UTC")
@@ -22,6 +24,8 @@ def build_session(name: str = "quarrystone", master: str | None = None, shuffle_
         b = b.master(master)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for key, value in settings.items():
+        b = b.config(key.replace("_", "."), value)
     return b.getOrCreate()
 
 
@@ -39,6 +43,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_flipped = threading.Lock()
 CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
 
 
@@ -50,16 +55,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    before = spark.conf.get(CONSTRAINTS, "true")
-    spark.conf.set(CONSTRAINTS, "false")
-    try:
-        return df.checkpoint(True)
-    finally:
-        spark.conf.set(CONSTRAINTS, before)
+    with _flipped:  # one thread at a time, so that none takes another's setting for the session's
+        before = spark.conf.get(CONSTRAINTS, "true")
+        spark.conf.set(CONSTRAINTS, "false")
+        try:
+            return df.checkpoint(True)
+        finally:
+            spark.conf.set(CONSTRAINTS, before)
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """More partitions for a CPU-bound step over an input that was scanned in too few (one small file)."""
+    """More partitions for a CPU-bound step over an input that was scanned in too few (one small file). It is for scans, whose
+    partitions are known without running anything."""
     want = least or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
