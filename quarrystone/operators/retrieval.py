@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import terms
-from ..session import spread
+from ..session import cut_lineage, spread
 
 HITS = "query_id long, item_id long, score double"
 
@@ -99,27 +99,36 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select(F.col("id").alias("query_id"), F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25_scores(q: DataFrame, p: DataFrame, n: int, mean: float | None, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_scores(q: DataFrame, p: DataFrame, n: int, mean: float | None, k: int = 5, k1: float = 1.2, b: float = 0.75, few: int = 200_000) -> DataFrame:
     """(query_id, item_id, score, rank) of query terms and the postings (item_id, term, tf, length) that hold them, of a corpus of
-    ``n`` texts and so many terms in the ``mean``."""
+    ``n`` texts and so many terms in the ``mean``. Up to ``few`` query terms go to the postings by broadcast, so a term that most
+    texts have is no hot key; more are joined."""
+    side = F.broadcast if q.count() <= few else lambda x: x
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = k1 * (1 - b + b * F.col("length") / F.lit(float(mean or 1.0)))
-    scored = p.join(df, "term").join(q, "term").withColumn("s", F.col("qtf") * idf * F.col("tf") / (F.col("tf") + norm))
+    scored = p.join(side(df.join(q, "term")), "term").withColumn("s", F.col("qtf") * idf * F.col("tf") / (F.col("tf") + norm))
     return ranked(scored.groupBy("query_id", "item_id").agg(F.round(F.sum("s"), 6).alias("score")), k)
 
 
-def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75, repeats: bool = False, few: int = 200_000) -> DataFrame:
     """(query_id, item_id, score, rank) by BM25 over (id, text) tables.
 
     Only postings of query terms leave the scan: a text's terms are cut down to those of the queries before they are
-    counted. Statistics (number of texts, mean length, document frequency) are of the whole corpus, texts without terms
-    included. ``bm25_scores`` over stored postings is the form for many searches.
+    counted, by a broadcast of at most ``few`` terms, a join beyond. Statistics (number of texts, mean length, document
+    frequency) are of the whole corpus, texts without terms included. ``repeats`` says that the corpus may hold a row
+    several times; it then counts once, and only lengths and postings are made distinct, never texts. ``bm25_scores``
+    over stored postings is the form for many searches.
     """
-    q = query_terms(queries)
-    corpus = spread(corpus.select("id", "text"))
-    t = corpus.select(F.col("id").alias("item_id"), terms(F.coalesce("text", F.lit(""))).alias("t")).withColumn("length", F.size("t"))
-    length = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"))
-    stats = corpus.agg(F.count("*").alias("n"), F.avg(length).alias("mean")).first()
-    p = t.select("item_id", "length", F.explode("t").alias("term")).join(q.select("term").distinct(), "term").groupBy("item_id", "length", "term").agg(F.count("*").alias("tf"))
-    return bm25_scores(q, p, stats.n, stats.mean, k, k1, b)
+    q = cut_lineage(query_terms(queries))
+    corpus = spread(corpus.select("id", F.coalesce("text", F.lit("")).alias("text")))
+    length = F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"))
+    lengths = corpus.select("id", length.alias("length"))
+    stats = (lengths.distinct() if repeats else lengths).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    wanted = q.select("term").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= few else wanted
+    row = [F.monotonically_increasing_id().alias("row")] if repeats else []
+    t = corpus.select(F.col("id").alias("item_id"), *row, terms(F.col("text")).alias("t")).withColumn("length", F.size("t"))
+    by = ["item_id", "length", "term", *(["row"] if repeats else [])]
+    p = t.select(*[c for c in by if c != "term"], F.explode("t").alias("term")).join(wanted, "term").groupBy(*by).agg(F.count("*").alias("tf"))
+    return bm25_scores(q, p.drop("row").distinct() if repeats else p, stats.n, stats.mean, k, k1, b, few)

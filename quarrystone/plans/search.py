@@ -60,9 +60,9 @@ def dense_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 def text_lists(spark: SparkSession, sf: str) -> DataFrame:
     """Path D: the chunks that the titles find by BM25. The payload is the document."""
-    c = table(spark, sf, "chunks").select(F.col("chunk_id").alias("id"), "doc_id", F.col("raw_content").alias("text")).dropDuplicates(["id"])
-    hits = retrieval.bm25_topk(query_texts(spark, sf), c)
-    hits = hits.join(c.select(F.col("id").alias("item_id"), F.col("doc_id").alias("payload")), "item_id")
+    c = table(spark, sf, "chunks")
+    hits = retrieval.bm25_topk(query_texts(spark, sf), c.select(F.col("chunk_id").alias("id"), F.col("raw_content").alias("text")), repeats=True)
+    hits = hits.join(c.select(F.col("chunk_id").alias("item_id"), F.col("doc_id").alias("payload")).distinct(), "item_id")
     return hits.select("query_id", F.lit("D").alias("path"), "rank", "item_id", "payload")
 
 

@@ -37,6 +37,9 @@ def test_bm25(spark):
     mean, idf = 5 / 5, math.log(1 + (5 - 1 + 0.5) / 1.5)
     assert [(r.query_id, r.item_id, r["rank"]) for r in got] == [(9, 1, 1)]
     assert got[0].score == round(2 * idf * 2 / (2 + 1.2 * (0.25 + 0.75 * 3 / mean)), 6)
+    q = spark.createDataFrame([(9, "Cat cat fish"), (8, "none")], "id long, text string")
+    for few in (0, 200_000):
+        assert retrieval.bm25_topk(q, docs.unionByName(docs), repeats=True, few=few).collect() == got
 
 
 def test_fusion_order_and_sources(spark):
