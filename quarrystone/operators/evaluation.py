@@ -67,21 +67,22 @@ def path_recall(lists: DataFrame, relevant: DataFrame, least: float = 0.8) -> Da
     rel = relevant.distinct()
     n = rel.groupBy("query_id").agg(F.count("*").alias("n"))
     hits = lists.select("path", "query_id", "item_id").distinct().join(rel, ["query_id", "item_id"]).groupBy("path", "query_id").agg(F.count("*").alias("hits"))
-    every = lists.select("path").distinct().join(F.broadcast(lists.select("query_id").distinct()))  # a row per path and query
-    r = every.join(n, "query_id", "left").join(hits, ["path", "query_id"], "left")
-    share = F.when(F.col("n").isNull(), 1.0).otherwise(F.coalesce("hits", F.lit(0)) / F.col("n"))
-    return r.groupBy("path").agg(F.round(F.avg(share), 6).alias("recall")).withColumn("passes", F.col("recall") >= least)
+    total, none = lists.select("query_id").distinct().join(n, "query_id", "left").agg(F.count("*"), F.count_if(F.col("n").isNull())).first()
+    shares = hits.join(n, "query_id").groupBy("path").agg(F.sum(F.col("hits") / F.col("n")).alias("s"))
+    r = lists.select("path").distinct().join(shares, "path", "left")
+    r = r.select("path", F.round((F.coalesce("s", F.lit(0.0)) + none) / max(total, 1), 6).alias("recall"))
+    return r.withColumn("passes", F.col("recall") >= least)
 
 
 def fused_improves(lists: DataFrame, relevant: DataFrame, fused: str = "FUSED") -> DataFrame:
     """(path, mrr, improves): mean reciprocal rank of each path over all queries, and whether the fused one is at least the best."""
-    total = lists.select("query_id").distinct().agg(F.count("*").alias("total"))
+    total = lists.select("query_id").distinct().count()
     first = lists.join(relevant.distinct(), ["query_id", "item_id"]).groupBy("path", "query_id").agg(F.min("rank").alias("first"))
     m = first.groupBy("path").agg(F.sum(1.0 / F.col("first")).alias("s"))
-    m = lists.select("path").distinct().join(m, "path", "left").join(F.broadcast(total))  # one row
-    m = m.select("path", F.round(F.coalesce("s", F.lit(0.0)) / F.col("total"), 6).alias("mrr"))
-    best = m.agg(F.max(F.when(F.col("path") == fused, F.col("mrr"))).alias("f"), F.max(F.when(F.col("path") != fused, F.col("mrr"))).alias("b"))
-    return m.join(F.broadcast(best)).select("path", "mrr", (F.col("f") >= F.col("b")).alias("improves"))
+    m = lists.select("path").distinct().join(m, "path", "left")
+    m = m.select("path", F.round(F.coalesce("s", F.lit(0.0)) / max(total, 1), 6).alias("mrr"))
+    ours, best = m.agg(F.max(F.when(F.col("path") == fused, F.col("mrr"))), F.max(F.when(F.col("path") != fused, F.col("mrr")))).first()
+    return m.withColumn("improves", F.lit(ours is not None and (best is None or ours >= best)))
 
 
 def gate(metrics: dict[str, float], least: dict[str, float]) -> None:
