@@ -19,6 +19,8 @@ from ..functions.scalars import terms
 from ..session import cut_lineage, spread
 
 HITS = "query_id long, item_id long, score double"
+#: Similarities that a worker holds at once.
+CELLS = 4_000_000
 
 
 def ranked(hits: DataFrame, k: int, *by: str, score: str = "score", ident: str = "item_id") -> DataFrame:
@@ -67,19 +69,24 @@ def _dense(held, k: int, same: bool, list_column: str | None):
             all_vec = np.asarray(b.column(1).flatten()).astype("f8").reshape(len(all_ids), -1)
             lists = np.array(b.column(2).to_pylist(), dtype=object) if list_column else np.full(len(all_ids), None, dtype=object)
             for name in set(lists.tolist()):
-                at = np.flatnonzero(lists == name) if name is not None else np.array([i for i, x in enumerate(lists) if x is None])
-                ids, c = all_ids[at], all_vec[at]
-                s = np.round(q @ (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)).T, 6)
-                if same:
-                    s[q_ids[:, None] == ids[None, :]] = -np.inf
-                n = min(k, len(ids))
-                edge = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
-                r, col = np.nonzero((s >= edge) & (s > -np.inf))
-                old = best.get(name, (np.empty(0), np.empty(0, "i8"), np.empty(0, "i8")))
-                score, row, item = np.concatenate([old[0], s[r, col]]), np.concatenate([old[1], r]), np.concatenate([old[2], ids[col]])
-                o = np.lexsort((item, -score, row))
-                o = o[(np.arange(len(o)) - np.searchsorted(row[o], row[o])) < k]
-                best[name] = (score[o], row[o], item[o])
+                every = np.flatnonzero(lists == name) if name is not None else np.array([i for i, x in enumerate(lists) if x is None])
+                for at in np.array_split(every, math.ceil(len(every) * len(q_ids) / CELLS)):
+                    ids, c = all_ids[at], all_vec[at]
+                    s = q @ (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)).T
+                    if same:
+                        s[q_ids[:, None] == ids[None, :]] = -np.inf
+                    old = best.get(name, (np.empty(0), np.empty(0, "i8"), np.empty(0, "i8")))
+                    # The score of the k-th best so far, less what rounding may add; none, and the slice's own, while there are fewer.
+                    edge = np.full(len(q_ids), -np.inf)
+                    last = np.flatnonzero(np.arange(len(old[1])) - np.searchsorted(old[1], old[1]) == k - 1)
+                    edge[old[1][last]] = old[0][last] - 1e-6
+                    if len(last) < len(q_ids) and len(ids) >= k:
+                        edge = np.maximum(edge, -np.partition(-s, k - 1, axis=1)[:, k - 1] - 2e-6)
+                    r, col = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
+                    score, row, item = np.concatenate([old[0], np.round(s[r, col], 6)]), np.concatenate([old[1], r]), np.concatenate([old[2], ids[col]])
+                    o = np.lexsort((item, -score, row))
+                    o = o[(np.arange(len(o)) - np.searchsorted(row[o], row[o])) < k]
+                    best[name] = (score[o], row[o], item[o])
         for name, (score, row, item) in best.items():
             cols = [pa.array(q_ids[row]), pa.array(item), pa.array(score)] + ([pa.array([name] * len(row), pa.string())] if list_column else [])
             yield pa.RecordBatch.from_arrays(cols, names=["query_id", "item_id", "score"] + ([list_column] if list_column else []))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import calibrated, decoding
-from ..operators import evaluation, fusion, retrieval
+from ..operators import evaluation, fusion, manysearch, retrieval
 from ..operators.lookup import trust
 from ..operators.windows import claim_windows
 from ..sources.tables import table
@@ -61,7 +61,7 @@ def dense_lists(spark: SparkSession, sf: str) -> DataFrame:
 def text_lists(spark: SparkSession, sf: str) -> DataFrame:
     """Path D: the chunks that the titles find by BM25. The payload is the document."""
     c = table(spark, sf, "chunks")
-    hits = retrieval.bm25_topk(query_texts(spark, sf), c.select(F.col("chunk_id").alias("id"), F.col("raw_content").alias("text")), repeats=True)
+    hits = manysearch.bm25_many(query_texts(spark, sf), c.select(F.col("chunk_id").alias("id"), F.col("raw_content").alias("text")))
     hits = hits.join(c.select(F.col("chunk_id").alias("item_id"), F.col("doc_id").alias("payload")).distinct(), "item_id")
     return hits.select("query_id", F.lit("D").alias("path"), "rank", "item_id", "payload")
 
