@@ -12,6 +12,7 @@ from ..functions.scalars import calibrated, decoding
 from ..operators import evaluation, fusion, manysearch, retrieval
 from ..operators.lookup import trust
 from ..operators.windows import claim_windows
+from ..session import cut_lineage
 from ..sources.tables import table
 
 COLLECTIONS = {"PRIMARY": "primary_v2", "B": "hype_v2", "C": "propositions_v2", "A": "clusters_v2"}
@@ -114,7 +115,7 @@ def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 def crag_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Fused hits, and for queries of low confidence the addresses of the query's document as web results."""
-    fused = rrf_fuse(spark, sf)
+    fused = cut_lineage(rrf_fuse(spark, sf))
     local = fused.select("query_id", F.col("item_id").alias("item"), "score", "rank")
     m = table(spark, sf, "document_metadata").select(F.col("document_id").alias("doc_id"), "pdf_url").filter("pdf_url is not null").distinct()
     q = points(spark, sf).filter(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "doc_id")
