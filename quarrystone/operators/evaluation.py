@@ -10,14 +10,15 @@ from pyspark.sql import Window as W
 CATEGORIES = ["RETRIEVAL", "CITATION", "REASONING", "GENERATION", "CRAG", "SUCCESS"]
 
 
-def retrieval_metrics(found: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
+def retrieval_metrics(found: DataFrame, relevant: DataFrame, k: int = 10, counts: DataFrame | None = None) -> DataFrame:
     """(query_id, n_relevant, mrr, average_precision, recall) for (query_id, item_id, rank) against (query_id, item_id).
 
     Reciprocal rank of the first hit; precision at each hit over min(relevant, k); hits within k over relevant. A query
-    without relevant items has zeros. Hits are found by a join, so relevant lists may be long.
+    without relevant items has zeros. Hits are found by a join, so relevant lists may be long. With ``counts``, the number
+    (query_id, n) of a query's relevant items, ``relevant`` needs to hold those only that are found.
     """
     rel = relevant.select("query_id", "item_id").distinct()
-    n = rel.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
+    n = rel.groupBy("query_id").agg(F.count("*").alias("n_relevant")) if counts is None else counts.select("query_id", F.col("n").alias("n_relevant"))
     hit = found.join(rel.withColumn("hit", F.lit(1)), ["query_id", "item_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     w = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
     hit = hit.withColumn("hits", F.sum("hit").over(w))
@@ -61,11 +62,11 @@ def path_features(fused: DataFrame, top: int = 5) -> DataFrame:
     )
 
 
-def path_recall(lists: DataFrame, relevant: DataFrame, least: float = 0.8) -> DataFrame:
+def path_recall(lists: DataFrame, relevant: DataFrame, least: float = 0.8, counts: DataFrame | None = None) -> DataFrame:
     """(path, recall, passes): the mean over all queries of the share of their relevant items that the path has, as sets; a query
-    without relevant items has 1."""
+    without relevant items has 1. ``counts`` as in ``retrieval_metrics``."""
     rel = relevant.distinct()
-    n = rel.groupBy("query_id").agg(F.count("*").alias("n"))
+    n = rel.groupBy("query_id").agg(F.count("*").alias("n")) if counts is None else counts
     hits = lists.select("path", "query_id", "item_id").distinct().join(rel, ["query_id", "item_id"]).groupBy("path", "query_id").agg(F.count("*").alias("hits"))
     total, none = lists.select("query_id").distinct().join(n, "query_id", "left").agg(F.count("*"), F.count_if(F.col("n").isNull())).first()
     shares = hits.join(n, "query_id").groupBy("path").agg(F.sum(F.col("hits") / F.col("n")).alias("s"))

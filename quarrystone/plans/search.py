@@ -106,11 +106,20 @@ def confidence_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """An item is relevant if its chunk is of the document of the query's point."""
+    fused = cut_lineage(rrf_fuse(spark, sf).select("query_id", "item_id", "rank"))
+    relevant, counts = relevance(spark, sf, fused)
+    return evaluation.retrieval_metrics(fused, relevant, counts=counts)
+
+
+def relevance(spark: SparkSession, sf: str, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of found (query_id, item_id) those that are relevant, and (query_id, n), the number of all relevant items. An item is
+    relevant if its chunk is of the document of the query's point. A document's items are not listed for each of its queries, since
+    a large one has many of both."""
     v = points(spark, sf)
     of = v.select("doc_id", F.col("chunk_id").alias("item_id")).filter("item_id <> ''").distinct()
-    relevant = v.filter(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "doc_id").join(of, "doc_id").select("query_id", "item_id")
-    return evaluation.retrieval_metrics(rrf_fuse(spark, sf).select("query_id", "item_id", "rank"), relevant)
+    q = v.filter(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "doc_id")
+    n = q.join(of.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id").select("query_id", "n")
+    return found.select("query_id", "item_id").distinct().join(q, "query_id").join(of, ["doc_id", "item_id"]).select("query_id", "item_id"), n
 
 
 def crag_merge(spark: SparkSession, sf: str) -> DataFrame:
