@@ -12,7 +12,7 @@ from ..session import cut_lineage
 from ..sources.tables import table
 from .documents import _C, _WORDS, _cited, chunk_rows, chunks, failure_report
 from .documents import SQL as _DOCUMENTS
-from .search import _POINTS, path_lists, points, query_texts
+from .search import _POINTS, path_lists, points, query_texts, relevance
 from .search import SQL as _SEARCH
 
 
@@ -129,20 +129,17 @@ def element_telemetry(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("chunk_id", status.alias("status")).distinct().groupBy("status").agg(F.count("*").alias("n"))
 
 
-def _relevant(spark: SparkSession, sf: str) -> DataFrame:
-    v = points(spark, sf)
-    of = v.select("doc_id", F.col("chunk_id").alias("item_id")).filter("item_id <> ''").distinct()
-    return v.filter(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "doc_id").join(of, "doc_id").select("query_id", "item_id")
-
-
 def path_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Share of a query's expected chunks that each path found, and whether the mean reaches the gate of 0.8."""
-    return evaluation.path_recall(cut_lineage(path_lists(spark, sf)), _relevant(spark, sf))
+    lists = cut_lineage(path_lists(spark, sf))
+    relevant, counts = relevance(spark, sf, lists)
+    return evaluation.path_recall(lists, relevant, counts=counts)
 
 
 def fused_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Mean reciprocal rank of every path and of the fused list, and whether the fused one is at least the best."""
-    lists, rel = cut_lineage(path_lists(spark, sf)), cut_lineage(_relevant(spark, sf))
+    lists = cut_lineage(path_lists(spark, sf))
+    rel = cut_lineage(relevance(spark, sf, lists)[0])
     fused = fusion.reciprocal_rank_fusion(lists).select("query_id", F.lit("FUSED").alias("path"), "rank", "item_id")
     return evaluation.fused_improves(lists.select("query_id", "path", "rank", "item_id").unionByName(fused), rel)
 
@@ -166,7 +163,7 @@ def calibration_trained(spark: SparkSession, sf: str) -> DataFrame:
 
     f = cut_lineage(fusion.reciprocal_rank_fusion(path_lists(spark, sf)))
     x = evaluation.path_features(f)
-    first = f.filter("rank = 1").join(_relevant(spark, sf).withColumn("label", F.lit(1.0)), ["query_id", "item_id"], "left").select("query_id", F.coalesce("label", F.lit(0.0)).alias("label"))
+    first = f.filter("rank = 1").join(relevance(spark, sf, f.filter("rank = 1"))[0].withColumn("label", F.lit(1.0)), ["query_id", "item_id"], "left").select("query_id", F.coalesce("label", F.lit(0.0)).alias("label"))
     rows = VectorAssembler(inputCols=["top1", "spread", "agreement"], outputCol="features").transform(x.join(first, "query_id"))
     model = LogisticRegression(maxIter=50, regParam=0.01).fit(rows)
     return model.transform(rows).select("query_id", "label", F.round(vector_to_array("probability")[1], 6).alias("confidence"))
