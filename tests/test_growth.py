@@ -48,7 +48,7 @@ def written(spark):
     return sum(e.apply(i).totalShuffleWrite() for i in range(e.size()))
 
 
-@pytest.mark.parametrize("name", ["multi_path_retrieve", "crag_merge", "retrieval_metrics", "path_recall", "calibration_trained", "answer_tokens", "fast_query", "prefiltered_search", "rrf_sources", "confidence_features", "rrf_top", "window_claims", "fused_gate", "rerank_and_pack"])
+@pytest.mark.parametrize("name", ["multi_path_retrieve", "crag_merge", "retrieval_metrics", "path_recall", "calibration_trained", "answer_tokens", "fast_query", "prefiltered_search", "rrf_sources", "confidence_features", "rrf_top", "window_claims", "fused_gate", "rerank_and_pack", "rrf_fuse"])
 def test_shuffle(spark, folder, name):
     before = written(spark)
     rows = entry.queries()[name](spark, folder).collect()
